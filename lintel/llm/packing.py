@@ -19,69 +19,125 @@ from .common import byte_slices, fresh_path, shared_dir, split_words, table, tun
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Characters that end many words and always make one pre-token together.
+_TAIL = ".,;:!?*%&$#|"
+_workers: dict = {}
+
+
 class WordIds:
     """Token ids of texts, by way of their distinct words.
 
-    The tokenizer's normaliser and pre-tokeniser never join what white space parts, so a text's ids are its words' ids in order; a word's ids
-    are worked out once and remembered.
+    The tokenizer's normaliser and pre-tokeniser never join what white space parts, nor letters with the punctuation behind them, and fold case. So
+    a text's ids are those of its words' letters and tails in order, and each of these is worked out once and remembered.
     """
 
     def __init__(self, path: str, plain_specials: bool = False):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = plain_specials
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
         self.forget()
 
+    @classmethod
+    def here(cls, path: str, plain_specials: bool) -> WordIds:
+        """This worker process's own: what it remembers outlives a task."""
+        key = (path, plain_specials)
+        if key not in _workers:
+            _workers[key] = cls(path, plain_specials)
+        return _workers[key]
+
     def forget(self):
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = [0]
-
-    def _learn(self, words: list[str]) -> None:
-        got = self.tok.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in got]
-        n = sum(map(len, ids))
-        at = self.ends[-1]
-        while at + n > len(self.flat):
+        self.ends = np.zeros(1 << 16, np.int64)
+        self.n = 0
+
+    def _add(self, units: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at = int(self.ends[self.n])
+        while at + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[at : at + n] = np.fromiter((x for i in ids for x in i), np.uint32, n)
-        for w, i in zip(words, ids):
-            self.known[w] = len(self.ends) - 1
-            at += len(i)
-            self.ends.append(at)
+        while self.n + len(units) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[at : at + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + 1 + len(units)] = at + np.cumsum(lengths)
+        self.known.update(zip(units, range(self.n, self.n + len(units))))
+        self.n += len(units)
+
+    def _learn(self, units: list[str]) -> None:
+        odd = [u for u in units if not u.isalpha()]
+        plain = [u for u in units if u.isalpha()]
+        for at in range(0, len(plain), 200):  # a word of letters is one pre-token, whose last id says so
+            some = plain[at : at + 200]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(some):
+                self._add(some, ids, np.diff(ends, prepend=-1))
+            else:
+                odd += some
+        for at in range(0, len(odd), 1000):
+            some = odd[at : at + 1000]
+            ids = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+            self._add(some, np.fromiter((x for i in ids for x in i), np.uint32), np.array([len(i) for i in ids], np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, of length rows + 1; all ids)."""
-        off, codes, words = split_words(texts)
-        words = words.to_pylist()
-        if len(self.known) + len(words) > MEMORY_WORDS:
+        off, codes, words = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+        if not len(codes):
+            return off, np.zeros(0, np.uint32)
+        core = pc.ascii_rtrim(words, _TAIL)
+        core = pc.if_else(pc.utf8_is_alpha(core), core, words)
+        tail = self._tails(words, core)
+        cores, tails = core.dictionary_encode(), tail.dictionary_encode()
+        lists = [cores.dictionary.to_pylist(), tails.dictionary.to_pylist()]
+        if len(self.known) + len(lists[0]) + len(lists[1]) > MEMORY_WORDS:
             self.forget()
-        if new := [w for w in words if w not in self.known]:
+        known = self.known
+        if new := [u for u in dict.fromkeys(lists[0] + lists[1]) if u not in known]:
             self._learn(new)
-        place = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        ends = np.array(self.ends, np.int64)
-        lengths = (ends[place + 1] - ends[place])[codes] if len(codes) else np.zeros(0, np.int64)
+        place = [np.fromiter(map(known.__getitem__, x), np.int64, len(x))[d.indices.to_numpy()] for x, d in zip(lists, (cores, tails))]
+        unit = np.empty(2 * len(codes), np.int64)
+        unit[0::2], unit[1::2] = place[0][codes], place[1][codes]
+        first = self.ends[unit]
+        lengths = self.ends[unit + 1] - first
         total = np.concatenate([[0], np.cumsum(lengths)])
-        first = ends[place][codes] if len(codes) else np.zeros(0, np.int64)
-        ids = self.flat[np.repeat(first - total[:-1], lengths) + np.arange(total[-1])]
-        return total[off], ids
+        first -= total[:-1]
+        ids = self.flat[np.repeat(first, lengths) + np.arange(total[-1])]
+        return total[2 * off], ids
+
+    @staticmethod
+    def _tails(words: pa.Array, core: pa.Array) -> pa.Array:
+        """What each word has behind its core: the bytes from the core's end, cut out of the words' own buffer."""
+        w = words.cast(pa.large_string())
+        offsets = np.frombuffer(w.buffers()[1], np.int64)[w.offset : w.offset + len(w) + 1]
+        data = np.frombuffer(w.buffers()[2] or b"", np.uint8)
+        size = pc.binary_length(core).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin, end = offsets[:-1] + size, offsets[1:]
+        n = end - begin
+        total = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(begin - total[:-1], n) + np.arange(total[-1])
+        return pa.LargeStringArray.from_buffers(len(w), pa.py_buffer(total), pa.py_buffer(data[at].tobytes()))
 
 
 def _pieces(path: str, eos: int, capacity: int, plain_specials: bool):
     def run(batches):
-        enc = WordIds(path, plain_specials)
+        enc = WordIds.here(path, plain_specials)
         ranks = np.zeros(capacity + 1, np.int64)
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", 6 << 20):
                 off, ids = enc.encode(part.column("text"))
                 doc = part.column("doc_id").to_pylist()
                 rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
