@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -18,6 +19,15 @@ SLICE_BYTES = 4 << 20
 BATCH_BYTES = 16 << 20
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers outlive tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,6 +97,7 @@ def map_rows(df: DataFrame, needs: list[str], fn, added: list[tuple[str, T.DataT
                     cols.append(v if v.type == f.type else v.cast(f.type))
                 res = pa.RecordBatch.from_arrays(cols, names=[*[f.name for f in passed], *arrow.names])
                 yield res if mask is None else res.filter(pa.array(mask))
+        release()
 
     return src.mapInArrow(run, schema)
 
