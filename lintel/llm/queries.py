@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import chat
+from .chat import op9_chat_formatting
 from .packing import op7_best_fit_packing
+from .simhash import op8_simhash_near_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_best_fit_packing,)}
+    return {f.__name__: f for f in (op7_best_fit_packing, op8_simhash_near_dedup, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_chat_formatting": chat.OP9_SQL}
