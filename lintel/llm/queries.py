@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, licenses, warc
 from .chat import op9_chat_formatting
+from .licenses import op10_license_digests
 from .packing import op7_best_fit_packing
 from .simhash import op8_simhash_near_dedup
+from .warc import op4_warc_transactions
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_best_fit_packing, op8_simhash_near_dedup, op9_chat_formatting)}
+    return {f.__name__: f for f in (op4_warc_transactions, op7_best_fit_packing, op8_simhash_near_dedup, op9_chat_formatting, op10_license_digests)}
 
 
 def oracle_sql() -> dict:
-    return {"op9_chat_formatting": chat.OP9_SQL}
+    return {"op4_warc_transactions": warc.OP4_SQL, "op9_chat_formatting": chat.OP9_SQL, "op10_license_digests": licenses.oracle()}
