@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from . import chat, licenses, warc
 from .chat import op9_chat_formatting
+from .html_text import op3_html_main_text
 from .licenses import op10_license_digests
 from .packing import op7_best_fit_packing
+from .repetition import op5_suffix_repetition
 from .simhash import op8_simhash_near_dedup
 from .warc import op4_warc_transactions
 
+_QUERIES = (op3_html_main_text, op4_warc_transactions, op5_suffix_repetition, op7_best_fit_packing, op8_simhash_near_dedup, op9_chat_formatting, op10_license_digests)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_warc_transactions, op7_best_fit_packing, op8_simhash_near_dedup, op9_chat_formatting, op10_license_digests)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict:
