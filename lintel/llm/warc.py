@@ -7,7 +7,6 @@ first by WARC-Concurrent-To, and assembly joins them again into one nested row p
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import json
@@ -136,6 +135,22 @@ def _hex(digest: str | None) -> str | None:
     return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
 
 
+def unzip(data: bytes) -> bytes:
+    """All gzip members of an archive. A member is fed in growing pieces, so that what lies behind it is never copied with it."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        z, step = zlib.decompressobj(31), 2048
+        while not z.eof:
+            piece = view[at : at + step]
+            if not piece:
+                raise ValueError("truncated gzip member")
+            out.append(z.decompress(piece))
+            at += len(piece)
+            step *= 2
+        at -= len(z.unused_data)
+    return b"".join(out)
+
+
 def parse(data: bytes):
     """(headers, block) of each record of a WARC stream; header names in lower case."""
     at = 0
@@ -162,7 +177,7 @@ def _read(payload: bool):
             for archive in batch.column("archive").to_pylist():
                 store, path = fs.FileSystem.from_uri(archive)
                 with store.open_input_stream(path, compression=None) as f:
-                    data = gzip.decompress(f.read())
+                    data = unzip(f.read())
                 rows, size = [], 0
                 for head, block in parse(data):
                     kind = head["warc-type"]
