@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import admission, jobs, net, packages, parts, scrub, streams  # noqa: F401
+from . import admission, jobs, net, packages, parts, process, scrub, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
