@@ -173,7 +173,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     """Best-fit decreasing over counts: (length, first rank, ranks, first sequence, offset) per run of slots.
 
     Groups hold bins that are filled alike, so work depends on the number of distinct lengths and fillings, not on documents. Each length, from
-    the longest, goes to the group with the least room that fits, one a bin, and then to new bins.
+    the longest, goes to the group with the least room that fits, and then to new bins.
     """
     slots: list[tuple[int, int, int, int, int]] = []
     rooms: list[int] = []  # sorted rooms that some group has
@@ -191,31 +191,27 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
         while left:
             k = bisect_left(rooms, length)
             if k == len(rooms):
-                each = max(1, capacity // length)
-                full, rest = divmod(left, each)
-                for bins, n in ((full, each), (1 if rest else 0, rest)):
-                    if bins:
-                        for j in range(n):
-                            slots.append((length, rank, bins, next_seq, j * length))
-                            rank += bins
-                        if capacity - n * length > 0:
-                            put(capacity - n * length, (next_seq, bins))
-                        next_seq += bins
-                left = 0
-                continue
-            room = rooms[k]
-            first, bins = groups[room].pop()
-            take = min(bins, left)
-            if take < bins:
-                groups[room].append((first + take, bins - take))
-            if not groups[room]:
-                del groups[room]
-                rooms.pop(k)
-            slots.append((length, rank, take, first, capacity - room))
-            rank += take
-            left -= take
-            if room - length:
-                put(room - length, (first, take))
+                room, first, bins = capacity, next_seq, -(-left // (capacity // length))
+                next_seq += bins
+            else:
+                room = rooms[k]
+                first, bins = groups[room].pop()
+                if not groups[room]:
+                    del groups[room]
+                    rooms.pop(k)
+            # Best fit fills one bin as long as this length fits before it goes to the next.
+            each = room // length
+            full, rest = divmod(min(left, bins * each), each)
+            for n_bins, n in ((full, each), (1 if rest else 0, rest)):
+                for j in range(n if n_bins else 0):
+                    slots.append((length, rank, n_bins, first, capacity - room + j * length))
+                    rank += n_bins
+                if n_bins and room - n * length:
+                    put(room - n * length, (first, n_bins))
+                first, bins = first + n_bins, bins - n_bins
+            if bins:
+                put(room, (first, bins))
+            left -= full * each + rest
     return slots
 
 

@@ -164,6 +164,8 @@ def parse(data: bytes):
             raise ValueError("truncated WARC record")
         yield head, data[end + 4 : end + 4 + size]
         at = end + 8 + size
+    if data[at:].strip():
+        raise ValueError(f"no whole WARC record at byte {at}")
 
 
 def _read(payload: bool):
