@@ -152,7 +152,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     """At most per_class labelled documents of each class, of at most max_chars characters, as (texts, 0/1 array).
 
     The bound is 2 * per_class rows and 2 * per_class * max_chars characters at any size of the corpus. Rows are taken by a hash of their id,
-    from the rows that are not held out. The chosen ids are broadcast: their number has that bound.
+    from the rows that are not held out. The chosen ids are broadcast: their number has that bound. Of repeated ids one text counts, the least, and of
+    several labels 1.
     """
     spark = documents.sparkSession
     lab = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
@@ -162,6 +163,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
         return [], np.zeros(0, np.int64)
     chosen = F.broadcast(spark.createDataFrame(list(ids.items()), "doc_id long, y int"))
     short = documents.select("doc_id", "text").filter((F.length("text") <= max_chars) & F.col("text").isNotNull())
-    seen = {r[0]: (r[1], r[2]) for r in short.join(chosen, "doc_id").select("doc_id", "text", "y").collect()}
+    one = short.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    seen = {r[0]: (r[1], r[2]) for r in one.select("doc_id", "text", "y").collect()}
     rows = [seen[k] for k in sorted(seen)]
     return [t for t, _ in rows], np.array([y for _, y in rows], np.int64)
