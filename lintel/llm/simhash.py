@@ -28,13 +28,16 @@ CELL_ROWS = 16_384
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """SimHash of each text: A-Z in lower case, words [^\\x20\\x09-\\x0D]+, shingles with repeats; no word gives 0."""
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED, tables: int = 1) -> np.ndarray:
+    """SimHash of each text: A-Z in lower case, words [^\\x20\\x09-\\x0D]+, shingles with repeats; no word gives 0.
+
+    A row per table: the first is of the shingles' XXH64 itself, the others of that number mixed with the table's own.
+    """
     import xxhash
 
     off, codes, words = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
     n = np.diff(off)
-    out = np.zeros(len(n), np.uint64)
+    out = np.zeros((tables, len(n)), np.uint64)
     if not len(codes):
         return out
     buf = " ".join(words.take(pa.array(codes)).to_pylist()).encode()
@@ -52,22 +55,37 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> n
     runs = (count[full] + 254) // 255
     run_doc = np.concatenate([[0], np.cumsum(runs)])
     cut = np.repeat(total[:-1][full], runs) + 255 * (np.arange(run_doc[-1]) - np.repeat(run_doc[:-1], runs))
-    byte = h.astype("<u8").view(np.uint8).reshape(-1, 8)
-    fp = np.zeros(len(full), np.uint64)
-    for j in range(8):
-        lanes = np.add.reduceat(_LANES[byte[:, j]], cut).astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones = np.add.reduceat(lanes.astype(np.int64), run_doc[:-1], axis=0)
-        bits = (2 * ones > count[full][:, None]).astype(np.uint64)
-        fp |= (bits << np.arange(8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) << np.uint64(8 * j)
-    out[full] = fp
+    for t in range(tables):
+        byte = _mixed(h, t).astype("<u8").view(np.uint8).reshape(-1, 8)
+        fp = np.zeros(len(full), np.uint64)
+        for j in range(8):
+            lanes = np.add.reduceat(_LANES[byte[:, j]], cut).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(lanes.astype(np.int64), run_doc[:-1], axis=0)
+            bits = (2 * ones > count[full][:, None]).astype(np.uint64)
+            fp |= (bits << np.arange(8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) << np.uint64(8 * j)
+        out[t, full] = fp
     return out
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", column: str = "fp", keep: bool = True) -> DataFrame:
-    """docs with its text's fingerprint as a long. A null text has that of an empty one."""
+def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+    if not table:
+        return h
+    x = h + np.uint64(0x9E3779B97F4A7C15 * table % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", tables: int = 1, keep: bool = True) -> DataFrame:
+    """docs with its text's fingerprints as longs: fp, fp1, fp2, ... A null text has those of an empty one."""
     from pyspark.sql import types as T
 
-    return map_rows(docs, [text], lambda c: {column: fingerprints(c[text]).view(np.int64)}, [(column, T.LongType())], keep)
+    names = _names(tables)
+    return map_rows(docs, [text], lambda c: dict(zip(names, fingerprints(c[text], tables=tables).view(np.int64))), [(n, T.LongType()) for n in names], keep)
+
+
+def _names(tables: int) -> list[str]:
+    return ["fp", *[f"fp{t}" for t in range(1, tables)]]
 
 
 def _masks(groups: int, radius: int) -> list[int]:
@@ -249,18 +267,34 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = 1) -> DataFrame:
     """doc_id, fp and component_id of each row of docs (doc_id, text; other columns are ignored).
 
-    Rows link if their fingerprints differ in at most `radius` bits; component_id is the smallest doc_id that can be reached, the row's own included. Null
-    and empty texts have fingerprint 0, which links like any other. Repeated rows come out as often as they go in; a row without an id takes part in
-    links but names no component (where no row has an id, component_id is null). An empty table gives no rows.
+    Rows link if their fingerprints differ in at most `radius` bits, in any of `tables` independent fingerprints (the first of which is `fp`); component_id is the
+    smallest doc_id that can be reached, the row's own included. Null and empty texts have fingerprint 0, which links like any other. Repeated rows
+    come out as often as they go in; a row without an id takes part in links but names no component (where no row has an id, component_id is
+    null). An empty table gives no rows.
 
     Texts are read once. Equal fingerprints are one node, with its least id, before anything is compared.
     """
-    rows = materialize(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), keep=True).select("doc_id", "fp"), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(fingerprint_links(nodes.select("fp"), radius))
+    names = _names(tables)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = materialize(with_fingerprint(source, tables=tables).select("doc_id", *names), "fingerprints")
+    vectors = materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = vectors.groupBy("fp").agg(F.min("least").alias("least")) if tables > 1 else vectors
+    links = None
+    for name in names:
+        if name == "fp":
+            found = fingerprint_links(nodes.select("fp"), radius)
+        else:  # links between other fingerprints, told by the least first fingerprint of each
+            named = materialize(vectors.groupBy(F.col(name).alias("other")).agg(F.min("fp").alias("rep")), "names")
+            pairs = fingerprint_links(named.select(F.col("other").alias("fp")), radius)
+            to = lambda c: named.select(F.col("other").alias(c), F.col("rep").alias(f"rep_{c}"))
+            found = pairs.join(to("a"), "a").join(to("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+            same = vectors.join(named, vectors[name] == named["other"]).filter("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+            found = found.unionByName(same)
+        links = found if links is None else links.unionByName(found)
+    found = components(links)
     linked = nodes.join(found, nodes["fp"] == found["node"]).select("fp", "least", "component")
     named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     alone = nodes.join(found, nodes["fp"] == found["node"], "left_anti").select("fp", F.col("least").alias("component_id"))
@@ -268,12 +302,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = RADIUS, tables: int = 1) -> DataFrame:
     """docs with one document of each group of near-duplicates, that of the smallest doc_id; all columns stay.
 
     Repeated rows of that id come down to one. Rows without an id all stay: nothing can name them.
     """
-    found = materialize(near_duplicates(docs, radius), "near-duplicates")
+    found = materialize(near_duplicates(docs, radius, tables), "near-duplicates")
     drop = found.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
     twice = materialize(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeats")

@@ -34,7 +34,7 @@ def brute_components(fps, radius=4):
 
 def test_fingerprints():
     texts = ["A b C d e É", "one", "one two three", "", None, "\x1c x", " \x0b\x0c ", "w " * 1000, "Ab ab AB ab ab", "\x85 \xa0 nbsp is a word"]
-    assert [int(x) for x in sh.fingerprints(pa.array(texts, pa.string()))] == [brute_fp(t) for t in texts]
+    assert [int(x) for x in sh.fingerprints(pa.array(texts, pa.string()))[0]] == [brute_fp(t) for t in texts]
 
 
 def test_bound():
@@ -86,6 +86,30 @@ def test_query(spark, sf):
     assert sorted((str(r[0]), int(r[1], 16), str(r[2])) for r in got.collect()) == brute(rows) and got.filter(~F.col("fingerprint").rlike("^[0-9a-f]{16}$")).count() == 0
 
 
+def test_more_tables_link_more(spark, sf):
+    """A link in any table counts; the closure is that of all pairs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    fps = sh.fingerprints(pa.array([r["text"] for r in rows], pa.string()), tables=3)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if any((int(f[i]) ^ int(f[j])).bit_count() <= 4 for f in fps):
+                parent[find(i)] = find(j)
+    want = {}
+    for i, r in enumerate(rows):
+        want[find(i)] = min(want.get(find(i), r["doc_id"]), r["doc_id"])
+    got = {r["doc_id"]: r["component_id"] for r in sh.near_duplicates(docs, tables=3).collect()}
+    assert got == {r["doc_id"]: want[find(i)] for i, r in enumerate(rows)}
+    assert len(set(got.values())) <= len({r["component_id"] for r in sh.near_duplicates(docs).collect()})
+
+
 def test_deduplicate(spark, odd):
     out = sh.deduplicate(odd)
     assert out.columns == odd.columns
