@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.files import BACKOFF_MS, MAX_ATTEMPTS, STALE_MS
 
 
+def new_jobs(uploads: DataFrame, now_ms: Column) -> DataFrame:
+    """Rows of new jobs from uploads (id, original_name, content_type, extension, size_bytes, idempotency_key): queued, with no attempt yet."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return uploads.select(
+        "id", F.lit("queued").alias("status"), "original_name", "content_type", "extension", "size_bytes", none("long").alias("cleaned_size_bytes"), none("string").alias("error"), none("string").alias("report_summary"), "idempotency_key",
+        F.lit(0).alias("attempts"), now_ms.alias("created_at"), now_ms.alias("updated_at"),
+    )
+
+
 def latest(log: DataFrame, key: str, order: list[str], carry: list[str]) -> DataFrame:
     """The last state of each job. Each task keeps one row a key before rows are dealt out, so a busy job costs no more than others."""
     last = F.max(F.struct(*order, *carry)).alias("last")

@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..operators import process
+from ..functions import files as fx
+from ..operators import jobs, process
 from .admission import NAMES, ext_sql, names
 from .net import values
 from .registry import INJ, injected, query, table
 from .scrub import COUNT
 
+NOW_MS = 1_704_067_200_000
+
+
+@query(
+    f"""with {NAMES} select doc_id as id, 'queued' as status, name as original_name, content_type, {ext_sql('name')} as extension, size as size_bytes, cast(null as bigint) as cleaned_size_bytes, cast(null as varchar) as error,
+    cast(null as varchar) as report_summary, case when doc_id % 2 = 0 then 'k' || doc_id end as idempotency_key, 0 as attempts, {NOW_MS}::bigint as created_at, {NOW_MS}::bigint as updated_at from names"""
+)
+def job_insert(spark, sf_dir):
+    k = F.col("doc_id")
+    uploads = names(spark, sf_dir).select(k.alias("id"), F.col("name").alias("original_name"), "content_type", fx.extension_of(F.col("name")).alias("extension"), F.col("size").alias("size_bytes"), F.when(k % 2 == 0, F.concat(F.lit("k"), k.cast("string"))).alias("idempotency_key"))
+    return jobs.new_jobs(uploads, F.lit(NOW_MS).cast("long"))
+
+
 BODIES = (
     ("1", '{"jobId": "11111111-1111-4111-8111-111111111111"}', "11111111-1111-4111-8111-111111111111", None), ("2", '{"job_id": "11111111-1111-4111-8111-111111111112", "id": "x"}', "11111111-1111-4111-8111-111111111112", None),
     ("3", '{"id": "nope"}', None, "invalid_job_id"), ("4", "{", None, "invalid_json"), ("5", "{}", None, "invalid_job_id"), ("6", None, None, "invalid_json"), ("7", '{"jobId": 5}', None, "invalid_job_id"),
