@@ -21,7 +21,7 @@ from .common import byte_slices, map_rows, release, split_words, table, tune
 LEAST = 4
 THRESHOLD = 0.5
 #: Benchmark text that workers hold at a time, in bytes; a larger benchmark is gone through in blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 _MARKS = ".,;:!?*%&$#|\"'`()[]{}<>«»„“”‘’…-–—_/\\~^+=@"
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_rows, materialize, split_words, table, tune
+from .common import discard, map_rows, materialize, split_words, table, tune
 
 SEED = 42
 SHINGLE = 4
@@ -259,7 +259,9 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialize(small, "edges")
+        before, edges = edges, materialize(small, "edges")
+        discard(before)
+        discard(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
