@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.files import STALE_MS
+from ..operators import process
+from ..sources import write_objects
 
 CLAIMS = "job_id long, status string, attempts long, updated_ms long"
 
@@ -76,3 +78,26 @@ def run_to_end(stream: DataFrame, mode: str, path: str | None = None) -> DataFra
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/out")
+
+
+def clean_arrivals(spark: SparkSession, folder: str, out: str, state: str, transport=None, once: bool = True):
+    """Clean files as they arrive in a folder: objects (cleaned, report.json) by kind below `out`/objects, result rows below `out`/results.
+
+    The file's address is its job id. A batch that runs again after a failure writes its own folder again, so no file is there twice. Returns the query.
+    """
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    rows = files.select(F.col("path").alias("job_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.lit(None).cast("string").alias("content_type"), "content")
+
+    def write(df, batch):
+        done = process.process_files(df, transport).persist()
+        cleaned = done.select("job_id", F.lit("cleaned").alias("object_kind"), F.col("cleaned").alias("content")).filter("content is not null")
+        reports = done.select("job_id", F.lit("report.json").alias("object_kind"), F.col("report").cast("binary").alias("content")).filter("content is not null")
+        write_objects(cleaned.unionByName(reports), f"{out}/objects/batch={batch}", "overwrite")
+        done.drop("cleaned", "report").write.mode("overwrite").parquet(f"{out}/results/batch={batch}")
+        done.unpersist()
+
+    writer = rows.writeStream.option("checkpointLocation", state).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
+
+
+__all__ = ["claims", "clean_arrivals", "dedup", "job_events", "rate_limit", "run_to_end", "step"]

@@ -117,3 +117,19 @@ def test_streams_over_batches_with_late_rows(spark, tmp_path):
     assert {r["job_id"]: r["status"] for r in got.collect()} == {1: "queued", 2: "queued"}
     limited = streaming.run_to_end(streaming.rate_limit(streaming.job_events(spark, str(tmp_path)), "user_id", "ts").select("user_id", F.col("window.start").alias("start"), "n"), "append", f"file://{tmp_path}/s2")
     assert [(r["user_id"], r["n"]) for r in limited.collect()] == [(1, 2)]  # the watermark closed it; the last window stays open
+
+
+def test_files_are_cleaned_as_they_arrive(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_bytes("a\u200bb".encode())
+    (folder / "b.txt").write_bytes(b"\xff")
+    (folder / "c.pdf").write_bytes(b"%PDF")
+    at = [f"file://{tmp_path}/{x}" for x in ("in", "out", "state")]
+    streaming.clean_arrivals(spark, *at).awaitTermination()
+    (folder / "d.md").write_bytes(b"plain")
+    streaming.clean_arrivals(spark, *at).awaitTermination()
+    rows = {r["job_id"].rpartition("/")[2]: (r["status"], r["error"]) for r in spark.read.parquet(f"{at[1]}/results").collect()}
+    assert rows == {"a.txt": ("done", None), "b.txt": ("error", "invalid_utf8: Layer A expects UTF-8 text"), "c.pdf": ("error", "cleaner_unconfigured"), "d.md": ("done", None)}
+    kept = sources.read_objects(spark, f"{at[1]}/objects", "cleaned")
+    assert sorted(bytes(r["content"]) for r in kept.collect()) == [b"ab", b"plain"]
