@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import bounded
 from ..functions import files as fx
 from ..functions import text as tx
 from . import packages, reports, scrub
@@ -51,6 +52,7 @@ _REMOTE = pa.schema([("cleaned", pa.binary()), ("kind", pa.string()), ("report",
 
 def call_remote(files: DataFrame, transport, attempts: int = fx.MAX_ATTEMPTS, first_ms: int = fx.BACKOFF_MS) -> DataFrame:
     """job_id, cleaned, kind, report, content_type, error and attempts of files sent to a remote service, up to `attempts` times each."""
+    bounded(files.sparkSession)
     kind = files.schema["job_id"].dataType.simpleString()
 
     def once(data, name):

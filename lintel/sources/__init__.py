@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..arrow import bounded
 from ..functions import files as fx
 
 OBJECT_KINDS = ("original", "cleaned", "report.json", "meta.json")
@@ -65,6 +66,7 @@ _UPLOAD = pa.schema([("name", pa.string()), ("type", pa.string()), ("content", p
 
 def parse_uploads(df: DataFrame, key: str, content_type: str = "content_type", body: str = "body") -> DataFrame:
     """key, name, type, content and error of multipart bodies with one `file` field."""
+    bounded(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def parse(media, data):
