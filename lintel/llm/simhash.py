@@ -247,7 +247,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, groups: int | None =
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) of the nodes of links (a, b): component is the least node that can be reached.
 
-    Alternates large-star and small-star steps, which shorten paths by half or so; each round is a table in the shared folder.
+    Alternates large-star and small-star steps, which shorten paths by half or so; each round's edges are a table in the shared folder.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
@@ -255,13 +255,13 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large, "large")
+        large = large.persist()  # used twice; lost parts are worked out again from the edges' table
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         before, edges = edges, materialize(small, "edges")
+        large.unpersist()
         discard(before)
-        discard(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
