@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2 << 20
 #: Bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 4 << 20
+#: A table of at most so many bytes, as Spark estimates it, is a single input split.
+SPLIT_BYTES = 16 << 20
 
 
 def release() -> None:
@@ -38,6 +40,12 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores if it is less than one input split, which would be one task; larger tables stay where they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPLIT_BYTES else df
+
+
 _own: dict[str, str] = {}
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_rows, release, split_words, table, tune
+from .common import byte_slices, map_rows, release, split_words, spread, table, tune
 
 #: The shortest match in tokens, and the share of an item's tokens from which a document counts as contaminated.
 LEAST = 4
@@ -206,4 +206,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
 def op6_greedy_tiling(spark, sf_dir):
     tune(spark)
-    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated_pairs(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))

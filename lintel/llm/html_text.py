@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, table, tune
+from .common import map_rows, spread, table, tune
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|"
@@ -229,4 +229,4 @@ def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def op3_html_main_text(spark, sf_dir):
     tune(spark)
-    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+    return extract_main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))).drop("html")

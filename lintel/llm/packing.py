@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, fresh_path, release, shared_dir, split_words, table, tune
+from .common import byte_slices, fresh_path, release, shared_dir, split_words, spread, table, tune
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers.
@@ -270,4 +270,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, eos: int = 0, capacity:
 
 def op7_best_fit_packing(spark, sf_dir):
     tune(spark)
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

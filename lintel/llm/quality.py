@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, labelled_sample, map_rows, split_words, table, tune
+from .common import held_out, labelled_sample, map_rows, split_words, spread, table, tune
 from .nn import Adam, calibrate, sigmoid
 
 #: The bounded sample that the model is fitted on: labelled documents of each class, and the characters that one has at most.
@@ -184,4 +184,4 @@ def op1_quality_classifier(spark, sf_dir):
     tune(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs.withColumn("held_out", held_out()), model).drop("text")
+    return score_quality(spread(docs).withColumn("held_out", held_out()), model).drop("text")

@@ -10,13 +10,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, split_words, table, tune
+from .common import map_rows, split_words, spread, table, tune
 
 #: A repeated passage counts from so many words on.
 MIN_WORDS = 8
@@ -164,5 +163,5 @@ def repetition_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: i
 
 def op5_suffix_repetition(spark, sf_dir):
     tune(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text")))
     return repetition_rules(docs).drop("text")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, materialize, split_words, table, tune
+from .common import discard, map_rows, materialize, split_words, spread, table, tune
 
 SEED = 42
 SHINGLE = 4
@@ -320,5 +320,5 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, tables: int = 1) -> DataF
 
 def op8_simhash_near_dedup(spark, sf_dir):
     tune(spark)
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, fresh_path, materialize, release, table, tune
+from .common import byte_slices, fresh_path, materialize, release, spread, table, tune
 
 #: An archive is closed once it holds so many bytes before compression; one record may be larger.
 ROLL_BYTES = 16 << 20
@@ -238,7 +238,7 @@ def captures_of(pages: DataFrame, payload: bool = True) -> DataFrame:
 
 def op4_warc_transactions(spark, sf_dir):
     tune(spark)
-    caps = captures_of(table(spark, sf_dir, "pages").select("page_id", "url", "html"), payload=False)
+    caps = captures_of(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")), payload=False)
     rows = caps.select(
         F.get_json_object(F.col("metadata")[0]["content"], "$.page_id").cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("type").alias("record_type"), "capture_id", F.col("response.refers_to").alias("refers_id"),
