@@ -69,7 +69,7 @@ def status_counts(jobs: DataFrame) -> DataFrame:
 
 def orphans(jobs: DataFrame, objects: DataFrame, key: str = "job_id") -> DataFrame:
     """Jobs without an object."""
-    return jobs.join(objects.select(key).distinct(), key, "left_anti")
+    return jobs.join(objects.select(key), key, "left_anti")
 
 
 def broken_states(jobs: DataFrame) -> DataFrame:
