@@ -97,27 +97,29 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def map_rows(df: DataFrame, needs: list[str], fn, added: list[tuple[str, T.DataType]], keep: bool = True) -> DataFrame:
+def map_rows(df: DataFrame, needs: list[str], fn, added: list[tuple[str, T.DataType]], keep: bool | list[str] = True) -> DataFrame:
     """Run fn over slices of df's rows in Python workers.
 
     fn maps a dict of the needed Arrow columns to a dict of the added columns (Arrow or numpy, a value per row) and may
-    return "_keep", a mask of the rows that stay. The other columns pass through untouched; a column of an added name is replaced.
+    return "_keep", a mask of the rows that stay. The other columns (with `keep`: those, or none) pass through untouched; a column of an added name is
+    replaced.
     """
     left = without(df, *[n for n, _ in added])
-    passed = left.schema.fields if keep else []
+    passed = [f for f in left.schema.fields if keep is True or keep and f.name in keep]
     schema = T.StructType([*passed, *[T.StructField(n, t) for n, t in added]])
-    extra = [n for n in needs if n not in left.columns]
-    src = df.select(*[F.col(f"`{f.name}`") for f in left.schema.fields], *[F.col(f"`{n}`").alias(f"__in_{n}") for n in extra])
-    names = {n: (f"__in_{n}" if n in extra else n) for n in needs}
-    sizer = names[needs[-1]]
+    # Plain names on the way in: those of input columns may hold dots. A column that is needed and passes through goes once.
+    places = {f.name: f"p{i}" for i, f in enumerate(passed)}
+    names = {n: places.get(n, f"n{i}") for i, n in enumerate(needs)}
+    columns = {f"p{i}": f.name for i, f in enumerate(passed)} | {p: n for n, p in names.items()}
+    src = df.select(*[F.col(f"`{n}`").alias(p) for p, n in columns.items()])
     arrow = pa.schema([(n, _arrow(t)) for n, t in added])
 
     def run(batches):
         for batch in batches:
-            for part in byte_slices(batch, sizer):
-                out = fn({n: part.column(c) for n, c in names.items()})
+            for part in byte_slices(batch, names[needs[-1]]):
+                out = fn({n: part.column(p) for n, p in names.items()})
                 mask = out.pop("_keep", None)
-                cols = [part.column(f.name) for f in passed]
+                cols = [part.column(f"p{i}") for i in range(len(passed))]
                 for f in arrow:
                     v = out[f.name]
                     v = v if isinstance(v, pa.Array) else pa.array(v, type=f.type)

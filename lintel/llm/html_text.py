@@ -217,16 +217,16 @@ def _extract(c):
     return {"text": texts, "n_chars": [len(x) for x in texts]}
 
 
-def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, html: str = "html", keep: bool | list[str] = True) -> DataFrame:
     """pages with `text`, the main text of the whole html, and `n_chars`, its code points.
 
     A null or empty page, and one of boilerplate alone, has an empty text. Rows stay as they are, repeated ones too; columns of the added names are
     replaced. Each page is worked on alone, without recursion, so deep or long pages need no more than memory in proportion.
     """
     src = pages if html == "html" else pages.withColumn("html", F.col(html))
-    return map_rows(src, ["html"], _extract, [("text", T.StringType()), ("n_chars", T.LongType())])
+    return map_rows(src, ["html"], _extract, [("text", T.StringType()), ("n_chars", T.LongType())], keep)
 
 
 def op3_html_main_text(spark, sf_dir):
     tune(spark)
-    return extract_main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))).drop("html")
+    return extract_main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")), keep=["page_id", "url"])

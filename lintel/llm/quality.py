@@ -160,7 +160,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, m
     return fit(texts, y, 0.5 if share is None else share)
 
 
-def score_quality(docs: DataFrame, model: dict, threshold: float = THRESHOLD, keep: bool = True) -> DataFrame:
+def score_quality(docs: DataFrame, model: dict, threshold: float = THRESHOLD, keep: bool | list[str] = True) -> DataFrame:
     """docs (a text column, others pass through) with `score`, the probability of good quality of the whole text, and `predicted`, 1 from `threshold` on.
 
     A null text counts as empty; both have a score. Rows stay as they are, repeated ones too; columns of the added names are replaced.
@@ -184,4 +184,4 @@ def op1_quality_classifier(spark, sf_dir):
     tune(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_quality(spread(docs).withColumn("held_out", held_out()), model).drop("text")
+    return score_quality(spread(docs).withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])

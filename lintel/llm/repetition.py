@@ -150,7 +150,7 @@ def _dup_lines(text: str) -> int:
 COLUMNS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("n_covered", T.LongType()), ("longest_repeat", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]
 
 
-def repetition_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST, keep: bool = True) -> DataFrame:
+def repetition_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST, keep: bool | list[str] = True) -> DataFrame:
     """docs (a text column, others pass through) with counts and verdicts of each whole text.
 
     `n_covered` is the number of words in repeated passages of at least `min_words` words (all their occurrences), `longest_repeat` the longest of any length.
@@ -164,4 +164,4 @@ def repetition_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: i
 def op5_suffix_repetition(spark, sf_dir):
     tune(spark)
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text")))
-    return repetition_rules(docs).drop("text")
+    return repetition_rules(docs, keep=["doc_id"])

@@ -76,7 +76,7 @@ def _mixed(h: np.ndarray, table: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", tables: int = 1, keep: bool = True) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", tables: int = 1, keep: bool | list[str] = True) -> DataFrame:
     """docs with its text's fingerprints as longs: fp, fp1, fp2, ... A null text has those of an empty one."""
     from pyspark.sql import types as T
 
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = 1) -> D
     """
     names = _names(tables)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(with_fingerprint(source, tables=tables).select("doc_id", *names), "fingerprints")
+    rows = materialize(with_fingerprint(source, tables=tables, keep=["doc_id"]), "fingerprints")
     vectors = materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("least")), "nodes")
     nodes = vectors.groupBy("fp").agg(F.min("least").alias("least")) if tables > 1 else vectors
     links = None

@@ -335,7 +335,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, m
     return fit(texts, y, 0.5 if share is None else share)
 
 
-def score_toxicity(docs: DataFrame, model: dict, threshold: float = THRESHOLD, keep: bool = True) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: dict, threshold: float = THRESHOLD, keep: bool | list[str] = True) -> DataFrame:
     """docs (a text column, others pass through) with `score`, the probability that the whole text is toxic, and `predicted`, 1 from `threshold` on.
 
     Every window of every text is read. A null text counts as empty; texts without words score as the share of toxic labels. Rows stay as they are, repeated ones too; columns of
@@ -360,4 +360,4 @@ def op2_toxicity_bigru(spark, sf_dir):
     tune(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(spread(docs).withColumn("held_out", held_out()), model).drop("text")
+    return score_toxicity(spread(docs).withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
