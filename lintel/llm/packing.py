@@ -15,11 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, fresh_path, release, shared_dir, split_words, spread, table, tune
+from .common import BATCH_BYTES, byte_slices, fresh_path, release, shared_dir, split_words, spread, table, tune
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers.
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -137,7 +137,7 @@ def _pieces(path: str, eos: int, capacity: int, plain_specials: bool):
 
         task = TaskContext.get().partitionId()
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", BATCH_BYTES):
                 off, ids = enc.encode(part.column("text"))
                 doc = part.column("doc_id").to_pylist()
                 rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
