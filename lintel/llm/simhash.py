@@ -24,6 +24,8 @@ SHINGLE = 4
 RADIUS = 4
 #: Rows of one grid cell that one task compares; a larger cell is cut into blocks, and all pairs of blocks are compared by tasks of their own.
 CELL_ROWS = 16_384
+#: Up to so many nodes the further tables of near_duplicates take the coarse grid, which deals out 15 rows a fingerprint rather than 35.
+COARSE_ROWS = 20_000_000
 
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -215,9 +217,11 @@ def _link(radius: int, most: int | None):
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, groups: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, groups: int | None = None, cell_rows: int = CELL_ROWS, by: str | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` (long) whose closure is that of all pairs within the radius.
 
+    With `by`, an int column from 0 on, only rows of the same number link, all numbers are gone through in one pass, and links are (by, a, b).
+
     Within a cell of the grid only enough links come out to join what is linked, so a dense group of n gives about n links, not n * n. `groups` sets
     how fine the grid is, and by default follows the number of fingerprints; any value gives the same closure. A cell of over `cell_rows` rows
     is cut into blocks by hash, and each pair of blocks is compared in a task of its own: no cell has to fit a task.
@@ -228,19 +232,22 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, groups: int | None =
     low = F.lit(0x5555555555555555).cast("long")
     x, y = F.col("fp"), F.shiftrightunsigned("fp", 1)
     unary = x.bitwiseOR(y).bitwiseAND(low).bitwiseOR(F.shiftleft(x.bitwiseAND(y).bitwiseAND(low), 1))
-    cells = fps.select("fp", unary.alias("u")).select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("combo"), F.col("u").bitwiseAND(F.lit(m).cast("long")).alias("cell")) for k, m in enumerate(_masks(groups, radius))])).alias("c")
+    masks = _masks(groups, radius)
+    first = F.col(by) * len(masks) if by else F.lit(0)
+    cells = fps.select("fp", unary.alias("u"), first.alias("first")).select(
+        "fp", F.explode(F.array(*[F.struct((F.col("first") + k).alias("combo"), F.col("u").bitwiseAND(F.lit(m).cast("long")).alias("cell")) for k, m in enumerate(masks)])).alias("c")
     )
     dealt = cells.select("c.combo", "c.cell", "fp").repartition("combo", "cell").sortWithinPartitions("combo", "cell", "fp")
     found = materialize(dealt.mapInArrow(_link(radius, cell_rows), LINK), "links")
-    links = found.filter(~F.col("hot")).select("a", "b")
+    which = [F.floor(F.col("combo") / len(masks)).cast("int").alias(by)] if by else []
+    links = found.filter(~F.col("hot")).select(*which, "a", "b")
     hot = found.filter("hot").select("combo", "cell", F.col("a").alias("fp"))
     if not hot.isEmpty():
         blocks = hot.groupBy("combo", "cell").agg(F.ceil(F.count("*") * 2 / cell_rows).cast("int").alias("blocks"))
         mine = hot.join(blocks, ["combo", "cell"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = mine.select("combo", "fp", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell")).select("combo", "cell", "fp")
         again = pair.repartition("combo", "cell").sortWithinPartitions("combo", "cell", "fp").mapInArrow(_link(radius, None), LINK)
-        links = links.unionByName(materialize(again, "hot-links").select("a", "b"))
+        links = links.unionByName(materialize(again, "hot-links").select(*which, "a", "b"))
     return links.distinct()
 
 
@@ -284,18 +291,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = 1) -> D
     rows = materialize(with_fingerprint(source, tables=tables, keep=["doc_id"]), "fingerprints")
     vectors = materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("least")), "nodes")
     nodes = vectors.groupBy("fp").agg(F.min("least").alias("least")) if tables > 1 else vectors
-    links = None
-    for name in names:
-        if name == "fp":
-            found = fingerprint_links(nodes.select("fp"), radius)
-        else:  # links between other fingerprints, told by the least first fingerprint of each
-            named = materialize(vectors.groupBy(F.col(name).alias("other")).agg(F.min("fp").alias("rep")), "names")
-            pairs = fingerprint_links(named.select(F.col("other").alias("fp")), radius)
-            to = lambda c: named.select(F.col("other").alias(c), F.col("rep").alias(f"rep_{c}"))
-            found = pairs.join(to("a"), "a").join(to("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-            same = vectors.join(named, vectors[name] == named["other"]).filter("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
-            found = found.unionByName(same)
-        links = found if links is None else links.unionByName(found)
+    links = fingerprint_links(nodes.select("fp"), radius)
+    if tables > 1:  # links between other fingerprints, told by the least first fingerprint of each
+        other = vectors.select("fp", F.posexplode(F.array(*names[1:])).alias("table", "other"))
+        named = materialize(other.groupBy("table", "other").agg(F.min("fp").alias("rep"), F.max("fp").alias("most")), "names")
+        groups = radius + 2 if named.count() < COARSE_ROWS * (tables - 1) else None
+        pairs = fingerprint_links(named.select("table", F.col("other").alias("fp")), radius, groups, by="table")
+        to = lambda c: named.select("table", F.col("other").alias(c), F.col("rep").alias(f"rep_{c}"))
+        found = pairs.join(to("a"), ["table", "a"]).join(to("b"), ["table", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        same = other.join(named.filter("rep <> most"), ["table", "other"]).filter("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+        links = links.unionByName(materialize(found.unionByName(same).filter("a <> b").distinct(), "table-links"))
     found = components(links)
     linked = nodes.join(found, nodes["fp"] == found["node"]).select("fp", "least", "component")
     named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")

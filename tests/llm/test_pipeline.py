@@ -47,3 +47,23 @@ def test_stages_take_odd_rows(spark, odd):
         out = stage(spark, odd, "/root/testdata/sf0.001")
         assert out.count() >= 0 and (name == "packing" or out.columns == odd.columns)
         assert stage(spark, odd.limit(0), "/root/testdata/sf0.001").collect() == []
+
+
+def test_near_duplicate_stage_finds_edited_copies(spark):
+    """Of pairs of different texts with 0.8 or more of their five-word shingles in common, nearly all lose a document."""
+    import random
+
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for k in range(40):
+        words = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        copy = list(words)
+        for at in rng.sample(range(300), 5):
+            copy[at] = f"x{k}"
+        shingles = [{tuple(w[i : i + 5]) for i in range(296)} for w in (words, copy)]
+        if len(shingles[0] & shingles[1]) >= 0.8 * len(shingles[0] | shingles[1]):
+            pairs.append((2 * k, 2 * k + 1))
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    kept = {r["doc_id"] for r in cp.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(pairs) > 20 and {a for a, _ in pairs} <= kept
+    assert sum(b not in kept for _, b in pairs) >= 0.8 * len(pairs)

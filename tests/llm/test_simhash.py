@@ -120,3 +120,24 @@ def test_deduplicate(spark, odd):
 
 def test_empty(spark, none):
     assert sh.near_duplicates(none).collect() == [] and sh.deduplicate(none).collect() == []
+
+
+def test_tables_in_one_pass(spark):
+    """Rows of different tables never link, whether a cell is cut into blocks or not."""
+    rows = [(t, base ^ (1 << b)) for t, base in ((0, 0), (1, 0), (2, 12345 << 20)) for b in range(40)]
+    df = spark.createDataFrame(rows, "t int, fp long")
+    for cell_rows in (16384, 10):
+        links = sh.fingerprint_links(df, groups=6, cell_rows=cell_rows, by="t").collect()
+        for t in range(3):
+            mine = sorted(f for k, f in rows if k == t)
+            got = brute_closure(mine, [(r["a"], r["b"]) for r in links if r["t"] == t])
+            assert got == 1
+        assert {(r["t"], r["a"]) for r in links} | {(r["t"], r["b"]) for r in links} <= set(rows)
+
+
+def brute_closure(nodes, links):
+    label = {n: n for n in nodes}
+    for a, b in links:
+        x, y = label[a], label[b]
+        label = {n: x if v == y else v for n, v in label.items()}
+    return len(set(label.values()))
