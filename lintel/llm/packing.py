@@ -6,6 +6,7 @@ slots by joining on their rank within their length.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from bisect import bisect_left, insort
 
@@ -29,32 +30,53 @@ _TAIL = ".,;:!?*%&$#|"
 _workers: dict = {}
 
 
-class WordIds:
-    """Token ids of texts, by way of their distinct words.
+def _tokenizer(path: str, plain_specials: bool):
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = plain_specials
+    return tok
+
 
-    The tokenizer's normaliser and pre-tokeniser never join what white space parts, nor letters with the punctuation behind them, and fold case. So
-    a text's ids are those of its words' letters and tails in order, and each of these is worked out once and remembered.
+@functools.cache
+def loose_letters(path: str) -> list[str]:
+    """Letters that join the punctuation behind them once the tokenizer has normalised them: U+0130 becomes an i with a combining dot, and
+    the dot is no letter. All of Unicode is asked.
     """
+    tok = _tokenizer(path, True)
+    every = pa.array([chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000])  # the planes behind these have no letters
+    letters = every.filter(pc.utf8_is_alpha(every)).to_pylist()
+    forms = tok.normalizer.normalize_str(" ".join(letters)).split(" ")
+    dots = np.cumsum([len(f) + 2 for f in forms]) - 2
+    starts = {a for _, (a, _) in tok.pre_tokenizer.pre_tokenize_str(" ".join(f + "." for f in forms))}
+    return [c for c, at in zip(letters, dots.tolist()) if at not in starts]
 
-    def __init__(self, path: str, plain_specials: bool = False):
-        import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class WordIds:
+    """Token ids of texts, by way of their distinct words.
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = plain_specials
+    The tokenizer's normaliser and pre-tokeniser never join what white space parts, nor letters with the punctuation behind them (but for the `loose`
+    ones, whose words stay whole), and fold case. So a text's ids are those of its words' letters and tails in order, and each of these is worked out
+    once and remembered.
+    """
+
+    def __init__(self, path: str, plain_specials: bool = False, loose: list[str] | None = None):
+        self.tok = _tokenizer(path, plain_specials)
+        self.loose = pa.array(loose_letters(path) if loose is None else loose, pa.large_string())
         self.last = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.last[i] = token.endswith("</w>")
         self.forget()
 
     @classmethod
-    def here(cls, path: str, plain_specials: bool) -> WordIds:
+    def here(cls, path: str, plain_specials: bool, loose: list[str]) -> WordIds:
         """This worker process's own: what it remembers outlives a task."""
         key = (path, plain_specials)
         if key not in _workers:
-            _workers[key] = cls(path, plain_specials)
+            _workers[key] = cls(path, plain_specials, loose)
         return _workers[key]
 
     def forget(self):
@@ -92,11 +114,15 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, of length rows + 1; all ids)."""
-        off, codes, words = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # a special token's string is one in its own case only
+            texts = pc.ascii_lower(texts)
+        off, codes, words = split_words(texts)
         if not len(codes):
             return off, np.zeros(0, np.uint32)
         core = pc.ascii_rtrim(words, _TAIL)
-        core = pc.if_else(pc.utf8_is_alpha(core), core, words)
+        last = pc.utf8_slice_codeunits(core, -1)
+        core = pc.if_else(pc.and_not(pc.utf8_is_alpha(core), pc.is_in(last, value_set=self.loose.cast(last.type))), core, words)
         tail = self._tails(words, core)
         cores, tails = core.dictionary_encode(), tail.dictionary_encode()
         lists = [cores.dictionary.to_pylist(), tails.dictionary.to_pylist()]
@@ -130,8 +156,10 @@ class WordIds:
 
 
 def _pieces(path: str, eos: int, capacity: int, plain_specials: bool):
+    loose = loose_letters(path)
+
     def run(batches):
-        enc = WordIds.here(path, plain_specials)
+        enc = WordIds.here(path, plain_specials, loose)
         ranks = np.zeros(capacity + 1, np.int64)
         from pyspark import TaskContext
 

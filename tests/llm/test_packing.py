@@ -1,22 +1,31 @@
+import functools
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lintel.llm import packing as pk
 
 PATH = __import__("public_tokenizers").path("word_bpe_49k.json")
-ODD = ["a\x0bb", "x\x1cy", "Σας ΣΑΣ Σ", "é é ́x", "it's don't 's 'LL", "a b c", "ﬁ İI Å K", "가 ᆨ", "a\x85b", " \t\n", "", "12a3 4½ x²", "日本 語。テスト", "\U0001f469‍\U0001f469", "a%%%. b!!c ***d x,y,", "Ⅷ ⅷ ª º ǅ", "<|endoftext|> a", None]
+ANY = pk.WordIds(PATH)
+ODD = ["a\x0bb", "x\x1cy", "Σας ΣΑΣ Σ", "é é ́x", "it's don't 's 'LL", "a b c", "ﬁ İI Å K", "가 ᆨ", "a\x85b", " \t\n", "", "12a3 4½ x²", "日本 語。テスト", "\U0001f469‍\U0001f469", "a%%%. b!!c ***d x,y,", "Ⅷ ⅷ ª º ǅ", "<|endoftext|> a", "<|ENDOFTEXT|> A <|StartOfText|>", "CUMHURİYETİ. BELEDİYESİ, İ! Aİ", None]
 
 
-def brute(text, plain=False):
+@functools.cache
+def tokenizer(plain):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = plain
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def brute(text, plain=False):
+    return tokenizer(plain).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("plain", [False, True])
@@ -28,6 +37,25 @@ def test_ids_are_the_tokenizers(plain):
             assert ids[off[k] : off[k + 1]].tolist() == brute(text, plain), text
 
 
+def test_every_code_point_before_every_mark():
+    """Each letter of Unicode, alone and behind another, with each mark that words end in."""
+    enc = pk.WordIds(PATH)
+    letters = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isalpha() or c < 0x3000)]
+    texts = [" ".join(f"{c}. b{c}{pk._TAIL[(k + i) % len(pk._TAIL)]}" for i, c in enumerate(letters[k : k + 200])) for k in range(0, len(letters), 200)]
+    texts += [" ".join(f"{c}{m}" for c in enc.loose.to_pylist() for m in pk._TAIL)]
+    off, ids = enc.encode(pa.array(texts, pa.string()))
+    for k, e in enumerate(enc.tok.encode_batch_fast(texts, add_special_tokens=False)):
+        assert ids[off[k] : off[k + 1]].tolist() == e.ids, texts[k][:20]
+
+
+@settings(max_examples=400, deadline=None, database=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("İIıΣς.,;:!?*%&$#|<> \n\u0301\u0307ab'")), max_size=40), max_size=4))
+def test_ids_of_any_text(texts):
+    off, ids = ANY.encode(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert ids[off[k] : off[k + 1]].tolist() == ANY.tok.encode(text, add_special_tokens=False).ids
+
+
 def test_forgets(monkeypatch):
     monkeypatch.setattr(pk, "MEMORY_WORDS", 3)
     enc = pk.WordIds(PATH)
