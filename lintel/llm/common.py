@@ -50,9 +50,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the cluster shares; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which the cluster shares; a temporary one only where that is unset and Spark runs in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors need a folder that they share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="lintel-shared-")
         _own[app] = base
@@ -180,18 +182,25 @@ def held_out(doc_id="doc_id"):
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int):
     """At most per_class labelled documents of each class, of at most max_chars characters, as (texts, 0/1 array).
 
-    The bound is 2 * per_class rows and 2 * per_class * max_chars characters at any size of the corpus. Rows are taken by a hash of their id,
-    from the rows that are not held out. The chosen ids are broadcast: their number has that bound. Of repeated ids one text counts, the least, and of
-    several labels 1.
+    The bound is 2 * per_class rows and 2 * per_class * max_chars characters at any size of the corpus. Rows are taken by a hash of their id
+    from those that have a usable text here and aren't held out, so a filtered table or a shard gives as many as it holds. The chosen ids are
+    broadcast: their number has that bound. Of repeated ids one text counts, the least, and of several labels 1.
     """
+    import warnings
+
     spark = documents.sparkSession
-    lab = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
-    picks = [lab.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    ids = {r[0]: r[1] for p in picks for r in p.collect()}
+    short = documents.select("doc_id", "text").filter((F.length("text") <= max_chars) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    lab = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    usable = materialize(lab.join(short.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    picks = [usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect() for y in (0, 1)]
+    discard(usable)
+    for y, found in enumerate(picks):
+        if not found:
+            warnings.warn(f"no usable document of label {label} = {y}: the model is a constant", stacklevel=2)
+    ids = {r[0]: r[1] for p in picks for r in p}
     if not ids:
         return [], np.zeros(0, np.int64)
     chosen = F.broadcast(spark.createDataFrame(list(ids.items()), "doc_id long, y int"))
-    short = documents.select("doc_id", "text").filter((F.length("text") <= max_chars) & F.col("text").isNotNull())
     one = short.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     seen = {r[0]: (r[1], r[2]) for r in one.select("doc_id", "text", "y").collect()}
     rows = [seen[k] for k in sorted(seen)]

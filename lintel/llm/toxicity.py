@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over character and word inputs, in numpy.
 
-A word's input joins what its form tells (the word's and its character n-grams' log-odds among labelled documents, and hashed signs of both). The network
-reads windows of words that overlap; a document scores as its worst window. It is trained on the worst window of each labelled document,
-which is found again before each round.
+A word's input joins its own trained vector (none for a word that the sample doesn't hold often) and the sum of the trained vectors of its character
+n-grams. The network reads windows of words that overlap; a document scores as its worst window. All vectors and weights are trained together by
+the gradient of the windows' loss: on windows at random first, then on the worst window of each labelled document, which is found again before each round. No
+statistic of labels is an input.
 """
 
 from __future__ import annotations
@@ -21,17 +22,27 @@ from .nn import Adam, calibrate, sigmoid
 PER_CLASS = 1000
 MAX_CHARS = 12_000
 VOCABULARY = 20_000
-GRAM_BITS = 18
+#: How often the sample holds a word that has a vector of its own.
+SEEN = 3
+GRAM_BITS = 16
 GRAMS = (3, 4, 5)
-WINDOW, STRIDE = 32, 24
+#: Words of a window, and from the start of one to that of the next: each run of up to WINDOW - STRIDE + 1 words is whole in some window.
+WINDOW, STRIDE = 32, 16
 HIDDEN = 8
-#: Parts of the sample between which log-odds are crossed.
-FOLDS = 4
+#: Numbers of a word's own vector and of its characters' one.
+OWN, CHARS = 8, 8
+#: Rounds on windows at random, how many of a document in each, and rounds on the worst windows.
+RANDOM_ROUNDS, RANDOM_WINDOWS, WORST_ROUNDS = 4, 3, 8
+#: The share of words that training reads by their characters alone, as it reads those that have no vector.
+HIDE = 0.3
+#: Windows of a training step; fewer for small samples, so that these train by as many steps.
+BATCH, LEAST_BATCH = 128, 16
+DECAY = 1e-4
 THRESHOLD = 0.5
 #: Windows that the network reads at a time.
 BLOCK = 2048
 #: Distinct words whose n-grams are held at a time.
-WORDS = 40_000
+WORDS = 20_000
 
 _MARKS = ".,;:!?*%&$#|\"'()[]{}<>«»„“”…-_"
 
@@ -63,37 +74,36 @@ def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(owner[order], np.arange(len(size) + 1)), found[order]
 
 
+def _scale(n: np.ndarray) -> np.ndarray:
+    return (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)[:, None]
+
+
+def _ragged(off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each row's run begins in the places, places of all runs of the rows)."""
+    n = off[rows + 1] - off[rows]
+    total = np.concatenate([[0], np.cumsum(n)])
+    return total, np.repeat(off[rows] - total[:-1], n) + np.arange(total[-1])
+
+
+def _embed(net, own: np.ndarray, off: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The input of each word: own is its row in the table of words, whose last is of zeros; its n-grams are grams[off[i] : off[i + 1]]."""
+    x = np.zeros((len(own), OWN + CHARS), np.float32)
+    x[:, :OWN] = net["words"][own]
+    n = np.diff(off)
+    full = np.flatnonzero(n)
+    if len(full):
+        x[full, OWN:] = np.add.reduceat(net["grams"][grams], off[:-1][full], axis=0) * _scale(n[full])
+    return x
+
+
 def _inputs(words: pa.Array, model) -> np.ndarray:
-    """The input vector of each normalised word, some at a time."""
-    parts = [_some_inputs(words.slice(k, WORDS), model) for k in range(0, len(words), WORDS)]
-    return np.concatenate(parts) if parts else np.zeros((0, 8), np.float32)
-
-
-def _some_inputs(words: pa.Array, model) -> np.ndarray:
-    own = pc.fill_null(pc.index_in(words, value_set=model["words"].cast(words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    x = np.zeros((len(words), 8), np.float32)
-    x[:, 0] = np.append(model["word_odds"], 0)[own]
-    x[:, 1] = own >= 0
-    if len(words):
-        off, grams = _grams(words)
-        n = np.diff(off)
-        full = np.flatnonzero(n)
-        if len(full):
-            odds = model["gram_odds"][grams]
-            starts = off[:-1][full]
-            x[full, 2] = np.add.reduceat(odds, starts) / n[full]
-            x[full, 3] = np.maximum.reduceat(odds, starts)
-            x[full, 4] = np.minimum.reduceat(odds, starts)
-            for k in (5, 6):
-                x[full, k] = np.add.reduceat(np.where(grams >> k & 1, np.float32(1), np.float32(-1)), starts) / n[full]
-        x[:, 7] = np.log1p(n)
-    return (x - model["mean"]) / model["std"]
-
-
-def _odds(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_negative: int) -> np.ndarray:
-    raw = np.log((positive + 0.5) / (n_positive + 1)) - np.log((negative + 0.5) / (n_negative + 1))
-    seen = positive + negative
-    return (raw * seen / (seen + 8)).astype(np.float32)
+    """The input of each normalised word, some words at a time."""
+    parts = [np.zeros((0, OWN + CHARS), np.float32)]
+    for k in range(0, len(words), WORDS):
+        some = words.slice(k, WORDS)
+        own = pc.fill_null(pc.index_in(some, value_set=model["vocabulary"].cast(some.type)), len(model["vocabulary"])).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts.append(_embed(model["net"], own, *_grams(some)))
+    return np.concatenate(parts)
 
 
 def _windows(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +122,12 @@ def _positions(start, end):
 
 
 def new_net(seed: int = 3) -> dict[str, np.ndarray]:
+    """The weights; the tables of vectors are not among them."""
     rng = np.random.default_rng(seed)
-    h, f = HIDDEN, np.float32
+    h, f, n = HIDDEN, np.float32, OWN + CHARS
     net = {}
     for d in "fb":
-        net |= {f"W{d}": rng.normal(0, 8**-0.5, (8, 3 * h)).astype(f), f"U{d}": rng.normal(0, h**-0.5, (h, 3 * h)).astype(f), f"c{d}": np.zeros(3 * h, f)}
+        net |= {f"W{d}": rng.normal(0, n**-0.5, (n, 3 * h)).astype(f), f"U{d}": rng.normal(0, h**-0.5, (h, 3 * h)).astype(f), f"c{d}": np.zeros(3 * h, f)}
     return net | {"A": rng.normal(0, (2 * h) ** -0.5, (2 * h, h)).astype(f), "v": rng.normal(0, h**-0.5, h).astype(f), "o": rng.normal(0, (2 * h) ** -0.5, 2 * h).astype(f), "b": np.zeros(1, f)}
 
 
@@ -170,7 +181,7 @@ def forward(net, x, mask, keep: dict | None = None):
 
 
 def backward(net, keep, g):
-    """Gradients of all parameters from that of the logits."""
+    """Gradients of all weights, and as "x" of the inputs, from that of the logits."""
     h = HIDDEN
     out = {"o": keep["pooled"].T @ g, "b": g.sum(keepdims=True).reshape(1)}
     dp = np.outer(g, net["o"])
@@ -184,6 +195,7 @@ def backward(net, keep, g):
     out["A"] = flat(hs).T @ flat(dt)
     dhs = dhs + dt @ net["A"].T
     x = keep["x"]
+    out["x"] = np.zeros_like(x)
     for k, d in enumerate("fb"):
         W, U = np.zeros_like(net[f"W{d}"]), np.zeros_like(net[f"U{d}"])
         c = np.zeros_like(net[f"c{d}"])
@@ -200,6 +212,7 @@ def backward(net, keep, g):
             carry = carry + dn * z + du @ net[f"U{d}"].T
             U += state.T @ du
             W += x[step].T @ dproj
+            out["x"][step] += dproj @ net[f"W{d}"].T
             c += dproj.sum(0)
         out |= {f"W{d}": W, f"U{d}": U, f"c{d}": c}
     return out
@@ -224,10 +237,30 @@ def _worst(logits, doc, n):
     return order[np.searchsorted(doc[order], np.arange(n))]
 
 
-def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 8, seed: int = 3) -> dict:
+class _Rows:
+    """Adam for a table of vectors of which a step changes few rows."""
+
+    def __init__(self, table: np.ndarray, rate: float):
+        self.table, self.rate = table, rate
+        self.m, self.v, self.t = np.zeros_like(table), np.zeros_like(table), np.zeros(len(table), np.int64)
+
+    def step(self, rows: np.ndarray, grad: np.ndarray) -> None:
+        """rows may repeat; their gradients add up."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g, r = np.add.reduceat(grad[order], first, axis=0), rows[first]
+        self.t[r] += 1
+        t = self.t[r][:, None]
+        self.m[r] += 0.1 * (g - self.m[r])
+        self.v[r] += 0.01 * (g * g - self.v[r])
+        self.table[r] -= (self.rate * (self.m[r] / (1 - 0.9**t)) / (np.sqrt(self.v[r] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
+
+
+def fit(texts: list[str], y: np.ndarray, share: float, seed: int = 3) -> dict:
     """A model from texts and their 0/1 labels; share is that of label 1 among all labelled documents.
 
-    With no text of a class the model gives every document the share of the other, or 0 without labels.
+    With no text of a class the model gives every document the share of the other, or 0 without labels. A fifth of the texts is kept apart for calibration.
     """
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 0.0}
@@ -235,81 +268,71 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 8, seed: in
     norm = _norm(words).dictionary_encode()
     codes = norm.indices.to_numpy(zero_copy_only=False).astype(np.int64)[raw]
     words = norm.dictionary
-    doc = np.repeat(np.arange(len(texts)), np.diff(off))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     check, learn = order[: max(1, len(y) // 5)], order[max(1, len(y) // 5) :]
-    # Log-odds that a document is read with must not have seen its label: those of its fold come from the other folds, of the checked ones from all.
-    fold = np.full(len(y), FOLDS)
-    fold[learn] = np.arange(len(learn)) % FOLDS
-    docs_of = np.zeros((FOLDS, 2), np.int64)
-    np.add.at(docs_of, (fold[learn], y[learn]), 1)
-
-    def tally(counts, owner, unit):
-        size = counts.shape[2]
-        pair = np.unique(owner.astype(np.int64) * size + unit)
-        pair = pair[fold[pair // size] < FOLDS]
-        d = pair // size
-        for f in range(FOLDS):
-            for k in (0, 1):
-                counts[f, k] += np.bincount(pair[(fold[d] == f) & (y[d] == k)] % size, minlength=size)
-
-    word_n = np.zeros((FOLDS, 2, len(words)), np.int32)
-    tally(word_n, doc, codes)
-    gram_n = np.zeros((FOLDS, 2, 1 << GRAM_BITS), np.int32)
-    pair = np.unique(doc.astype(np.int64) * len(words) + codes)
-    owner = pair // len(words)
-    for d in range(0, len(y), 100):
-        here = slice(*np.searchsorted(owner, [d, d + 100]))
-        if here.start == here.stop:
-            continue
-        mine, some = np.unique(pair[here] % len(words), return_inverse=True)
-        goff, grams = _grams(words.take(pa.array(mine)))
-        size = np.diff(goff)[some]
-        total = np.concatenate([[0], np.cumsum(size)])
-        tally(gram_n, np.repeat(owner[here], size), grams[np.repeat(goff[some] - total[:-1], size) + np.arange(total[-1])])
-    del pair, owner
-    seen = word_n.sum((0, 1))
+    learns = np.zeros(len(y), bool)
+    learns[learn] = True
+    seen = np.bincount(codes[np.repeat(learns, np.diff(off))], minlength=len(words))
     top = np.argsort(-seen, kind="stable")[:VOCABULARY]
-    top = top[seen[top] >= 3]
-
-    def odds(counts, without):
-        left = [f for f in range(FOLDS) if f != without]
-        n = docs_of[left].sum(0)
-        c = counts[left].sum(0)
-        return _odds(c[1], c[0], n[1], n[0])
-
-    model = {"words": words.take(pa.array(top)), "word_odds": odds(word_n, None)[top], "gram_odds": odds(gram_n, None), "mean": np.zeros(8, np.float32), "std": np.ones(8, np.float32)}
-    x = np.concatenate([_inputs(words, model | {"word_odds": odds(word_n, f)[top], "gram_odds": odds(gram_n, f)}) for f in range(FOLDS)] + [_inputs(words, model)])
-    codes = codes + len(words) * fold[doc]
-    model["mean"], model["std"] = x[codes].mean(0), x[codes].std(0) + 1e-2
-    x = ((x - model["mean"]) / model["std"]).astype(np.float32)
+    top = top[seen[top] >= SEEN]
+    own = np.full(len(words), len(top))
+    own[top] = np.arange(len(top))
+    parts = [_grams(words.slice(k, WORDS)) for k in range(0, len(words), WORDS)]
+    goff = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for o, _ in parts]))]) if parts else np.zeros(1, np.int64)
+    grams = np.concatenate([g for _, g in parts]) if parts else np.zeros(0, np.int64)
+    net = new_net(seed)
+    tables = {"words": rng.normal(0, 0.1, (len(top) + 1, OWN)).astype(np.float32), "grams": rng.normal(0, 0.1, (1 << GRAM_BITS, CHARS)).astype(np.float32)}
+    tables["words"][-1] = 0
+    opt, opt_words, opt_grams = Adam(net, 0.01), _Rows(tables["words"], 0.01), _Rows(tables["grams"], 0.01)
     start, wdoc = _windows(off)
     end = off[1:][wdoc]
-    # To begin with, the worst window is that of the word whose n-grams tell most.
-    told = np.append(x[codes, 2] + x[codes, 3] + x[codes, 0], -1e3)
-    first = np.concatenate([told[_positions(start[k : k + BLOCK], end[k : k + BLOCK])].max(0) for k in range(0, len(start), BLOCK)])
-    worst = _worst(first, wdoc, len(y))
-    net = new_net(seed)
-    opt = Adam(net, 0.01)
-    table_x, table_c = np.concatenate([x, np.zeros((1, 8), np.float32)]), np.append(codes, len(x))
-    for k in range(rounds):
-        if k:
-            worst = _worst(_logits(net, x, codes, start, end), wdoc, len(y))
-        for _ in range(3):
-            for part in np.array_split(rng.permutation(learn), max(1, len(learn) // 64)):
-                w = worst[part]
-                at = _positions(start[w], end[w])
-                keep: dict = {}
-                out = forward(net, table_x[table_c[at]], at >= 0, keep)
-                grads = backward(net, keep, ((sigmoid(out) - y[part]) / len(part)).astype(np.float32))
-                norm_g = float(np.sqrt(sum((g * g).sum() for g in grads.values())))
-                opt.step({k2: g * min(1.0, 1 / max(norm_g, 1e-9)) + 1e-4 * net[k2] for k2, g in grads.items()})
-    logits = _logits(net, x, codes, start, end)
-    raw_score = logits[_worst(logits, wdoc, len(y))][check].astype(np.float64)
+    first = np.searchsorted(wdoc, np.arange(len(y) + 1))
+    none = len(words)
+
+    def logits():
+        return _logits(net, _embed(tables, own, goff, grams), codes, start, end)
+
+    def step(w):
+        at = _positions(start[w], end[w])
+        used, inverse = np.unique(np.where(at >= 0, codes[at], none), return_inverse=True)
+        some = used[used < none]
+        total, places = _ragged(goff, some)
+        mine = own[some].copy()
+        mine[rng.random(len(some)) < HIDE] = len(top)
+        x = np.concatenate([_embed(tables, mine, total, grams[places]), np.zeros((len(used) - len(some), OWN + CHARS), np.float32)])
+        keep: dict = {}
+        out = forward(net, x[inverse].reshape(*at.shape, -1), at >= 0, keep)
+        target = y[wdoc[w]]
+        grads = backward(net, keep, ((sigmoid(out) - target) / len(w)).astype(np.float32))
+        dx = grads.pop("x").reshape(-1, OWN + CHARS)
+        by = np.argsort(inverse.ravel(), kind="stable")
+        dx = np.add.reduceat(dx[by], np.searchsorted(inverse.ravel()[by], np.arange(len(used))), axis=0)[: len(some)]
+        size = float(np.sqrt(sum((g * g).sum() for g in grads.values())))
+        opt.step({k: g * min(1.0, 1 / max(size, 1e-9)) + 1e-4 * net[k] for k, g in grads.items()})
+        told = mine < len(top)
+        if told.any():
+            opt_words.step(mine[told], dx[told, :OWN] + DECAY * tables["words"][mine[told]])
+        if len(places):
+            n = np.diff(total)
+            opt_grams.step(grams[places], np.repeat(dx[:, OWN:] * _scale(n), n, axis=0) + DECAY * tables["grams"][grams[places]])
+
+    for k in range(RANDOM_ROUNDS + WORST_ROUNDS):
+        if k < RANDOM_ROUNDS:
+            chosen = np.concatenate([first[learn] + (rng.random(len(learn)) * (first[learn + 1] - first[learn])).astype(np.int64) for _ in range(RANDOM_WINDOWS)])
+        else:
+            chosen = np.concatenate([_worst(logits(), wdoc, len(y))[learn], first[learn] + (rng.random(len(learn)) * (first[learn + 1] - first[learn])).astype(np.int64)])
+            chosen = chosen[np.concatenate([np.ones(len(learn), bool), y[learn] == 0])]  # of toxic texts the worst window alone
+        chosen = rng.permutation(chosen)
+        for o, rate in ((opt, 0.01), (opt_words, 0.01), (opt_grams, 0.01)):  # smaller steps towards the end
+            o.rate = rate * min(1.0, (RANDOM_ROUNDS + WORST_ROUNDS - k) / WORST_ROUNDS)
+        for part in np.array_split(chosen, max(1, len(chosen) // min(BATCH, max(LEAST_BATCH, len(learn) // 12)))):
+            step(part)
+    found = logits()
+    raw_score = found[_worst(found, wdoc, len(y))][check].astype(np.float64)
     rate = y[check].mean()
     weight = np.where(y[check] == 1, share / max(rate, 1e-3), (1 - share) / max(1 - rate, 1e-3))
-    return model | {"net": net, "share": share, "calibration": calibrate(raw_score, y[check], weight, shift=True)}
+    return {"vocabulary": words.take(pa.array(top)), "net": net | tables, "share": share, "calibration": calibrate(raw_score, y[check], weight, shift=True)}
 
 
 def predict(model: dict, texts: pa.Array) -> np.ndarray:
@@ -351,7 +374,9 @@ def score_toxicity(docs: DataFrame, model: dict, threshold: float = THRESHOLD, k
 
 
 def drop_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text stays under the threshold, with all their columns."""
+    """The rows of docs whose text stays under the threshold, with all their columns. A model without both classes can't tell them apart: all rows stay."""
+    if "constant" in model:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_rows(docs, ["text"], lambda c: {"_keep": predict(shared.value, c["text"]) < threshold}, [], True)
 
