@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 Each node of the page's tree has characters per tag, adjusted for links; a node's density sum is that of its children. The node with the largest sum is the
-main subtree, and the least density on its path from the body is the threshold: whatever else reaches it gives its own largest subtree.
+main subtree, and the least density on its path from the body is the threshold: whatever else reaches it gives its own largest subtree. Densities are
+those of the whole page, boilerplate included; lists of tags and words only clean what lies inside the subtrees that density has picked.
 """
 
 from __future__ import annotations
@@ -16,12 +17,20 @@ from pyspark.sql import types as T
 
 from .common import map_rows, spread, table, tune
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|"
-    r"<(script|style|textarea|title|noscript|template|iframe|xmp|noembed|noframes)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|"
-    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
-    re.S | re.I,
-)
+_RAW = "script|style|textarea|title|noscript|template|iframe|xmp|noembed|noframes"
+_QUOTED = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+
+
+def _tokens(attributes: str, loose: str):
+    """Comments and other marks; elements whose content is no markup; tags. Each runs to the page's end where nothing closes it."""
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<({_RAW})(?=[\s/>]){attributes}>.*?(?:(?P<close></\1(?=[\s/>])[^>]*+>)|\Z)|"
+        rf"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?:(?P<attrs>{attributes})>{loose})",
+        re.S | re.I,
+    )
+
+
+_TOKEN, _PLAIN_TOKEN = _tokens(_QUOTED, "|(?P<loose>[^>]*+)>"), _tokens("[^>]*+", "")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are boilerplate wherever they stand.
@@ -60,89 +69,121 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     return bool(words & BOILERPLATE) and not words & CONTENT
 
 
+def _marks(page: str):
+    """Matches of markup in page, and the place from which on text is none of it: a scan of time in proportion, as quotes that don't close are looked for once."""
+    end = page.rfind(">") + 1  # no tag ends behind it
+    pattern, at = _TOKEN, 0
+    while True:
+        for m in pattern.finditer(page, at, end):
+            yield m
+            if pattern is _TOKEN and m["loose"] is not None:
+                pattern, at = _PLAIN_TOKEN, m.end()
+                break
+        else:
+            return
+
+
 class _Tree:
     """Nodes in page order: a parent comes before its children. `segments` has (node, text), or None for a break between blocks."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, named: bool = True):
         self.tag, self.parent, self.off, self.article = ["#root"], [-1], [False], [False]
         self.segments: list = []
         self.body = 0
-        stack = [0]
+        self.named = named
+        self.stack = [0]
+        self.open: dict[str, list[int]] = {}  # where in the stack elements of a name are
         at = 0
-        for m in _TOKEN.finditer(page):
+        for m in _marks(page):
             if m.start() > at:
-                self._text(stack[-1], page[at : m.start()])
+                self._text(page[at : m.start()])
             at = m.end()
-            name = m[3]
+            name = m["name"]
             if name is None:
-                if page.startswith("<![CDATA[", m.start()):
-                    self._text(stack[-1], page[m.start() + 9 : at].removesuffix("]]>"), plain=True)
+                raw = m[0]
+                if raw.startswith("<![CDATA["):
+                    self._text(raw[9:].removesuffix("]]>"), plain=True)
+                if m[1] and not m["close"] or raw.startswith("<!--") and not raw.endswith("-->"):
+                    at = len(page)
                 continue
             name = name.lower()
             if name in _BLOCK:
                 self.segments.append(None)
-            if m[2]:
-                self._end(stack, name)
+            if m["end"]:
+                self._end(name)
             else:
-                self._start(stack, name, m[4])
+                self._start(name, m["attrs"] if m["attrs"] is not None else m["loose"])
         if at < len(page):
-            self._text(stack[-1], page[at:])
+            self._text(re.split(r"<[!?]", page[at:], maxsplit=1)[0])
 
-    def _text(self, node: int, text: str, plain: bool = False) -> None:
-        if not self.off[node]:
-            if "&" in text and not plain:
-                text = entities.unescape(text)
-            self.segments.append((node, text))
+    def _text(self, text: str, plain: bool = False) -> None:
+        if "&" in text and not plain:
+            text = entities.unescape(text)
+        self.segments.append((self.stack[-1], text))
 
-    def _end(self, stack: list[int], name: str) -> None:
-        if name in ("body", "html"):
-            return
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == name:
-                del stack[k:]
-                return
+    def _last(self, names) -> int:
+        """The innermost place in the stack of an open element of these names; 0 for none."""
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
 
-    def _start(self, stack: list[int], name: str, attrs: str) -> None:
-        if name in VOID:
-            return
-        if name == "body" and self.body:
+    def _cut(self, k: int) -> None:
+        for i in self.stack[k:]:
+            self.open[self.tag[i]].pop()
+        del self.stack[k:]
+
+    def _end(self, name: str) -> None:
+        if name not in ("body", "html") and (k := self._last((name,))):
+            self._cut(k)
+
+    def _start(self, name: str, attrs: str) -> None:
+        if name in VOID or name == "body" and self.body:
             return
-        if name == "body" or name in _ENDS_P and self.tag[stack[-1]] != "head":
-            while len(stack) > 1 and self.tag[stack[-1]] == "head":
-                stack.pop()
+        if name == "body" or name in _ENDS_P:
+            while len(self.stack) > 1 and self.tag[self.stack[-1]] == "head":
+                self._cut(len(self.stack) - 1)
         if name in _ENDS_P:
-            self._implied(stack, ("p",), _SCOPE)
+            self._implied(("p",), _SCOPE)
         if name in _CLOSES:
-            closes, until = _CLOSES[name]
-            self._implied(stack, closes, until)
-        if name == "body":
-            while len(stack) > 1 and self.tag[stack[-1]] in ("head", "title", "meta"):
-                stack.pop()
-        up = stack[-1]
+            self._implied(*_CLOSES[name])
+        up = self.stack[-1]
         inside = self.article[up] or name in ("article", "main")
         self.tag.append(name)
         self.parent.append(up)
         self.article.append(inside)
-        self.off.append(self.off[up] or _boilerplate(name, attrs.rstrip("/"), inside))
-        stack.append(len(self.tag) - 1)
+        self.off.append(self.off[up] or self.named and _boilerplate(name, attrs.rstrip("/"), inside))
+        self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append(len(self.tag) - 1)
         if name == "body":
-            self.body = stack[-1]
+            self.body = self.stack[-1]
 
-    def _implied(self, stack, names, until) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[k]]
-            if t in names:
-                del stack[k:]
-                return
-            if t in until:
-                return
+    def _implied(self, names, until) -> None:
+        k = self._last(names)
+        if k > self._last(until):
+            self._cut(k)
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: references decoded, white space one space, blocks in page order. A null or empty page has none."""
+def main_text(page: str | None, named: bool = True, dense: bool = True) -> str:
+    """The main text of a page: references decoded, white space one space, blocks in page order. A null or empty page has none.
+
+    Without `named`, tags and classes are not looked at, and without `dense` the whole body is taken: either shows what the other does.
+    """
     if not page:
         return ""
-    t = _Tree(page)
+    t = _Tree(page, named)
+    n = len(t.tag)
+    content = _dense(t) if dense else [i == t.body for i in range(n)]
+    for i in range(1, n):
+        content[i] = content[i] or content[t.parent[i]]
+    out = []
+    for s in t.segments:
+        if s is None:
+            out.append(" ")
+        elif content[s[0]] and not t.off[s[0]]:
+            out.append(s[1])
+    return " ".join("".join(out).split())
+
+
+def _dense(t: _Tree) -> list[bool]:
+    """Which nodes are the roots of content."""
     n = len(t.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for s in t.segments:
@@ -153,11 +194,10 @@ def main_text(page: str | None) -> str:
         link = t.tag[i] == "a"
         if link:
             link_chars[i] = chars[i]
-        if not t.off[i]:
-            chars[p] += chars[i]
-            link_chars[p] += link_chars[i]
-            tags[p] += tags[i] + 1
-            link_tags[p] += link_tags[i] + link
+        chars[p] += chars[i]
+        link_chars[p] += link_chars[i]
+        tags[p] += tags[i] + 1
+        link_tags[p] += link_tags[i] + link
     b = t.body
     share = link_chars[b] / max(1, chars[b])
 
@@ -182,34 +222,17 @@ def main_text(page: str | None) -> str:
     while i != b and i > 0:
         i = t.parent[i]
         least = min(least, dens[i])
-    kids: list[list[int]] = [[] for _ in range(n)]
-    for i in range(1, n):
-        kids[t.parent[i]].append(i)
     content = [False] * n
-    todo = [b]
-    while todo:
-        i = todo.pop()
-        if not content[i] and dens[i] >= least and chars[i]:
-            if i == b or not _under(t.parent, content, i):
-                content[best[i]] = True
-            todo.extend(kids[i])
-    for i in range(1, n):
-        content[i] = content[i] or content[t.parent[i]]
-    out = []
-    for s in t.segments:
-        if s is None:
-            out.append(" ")
-        elif content[s[0]]:
-            out.append(s[1])
-    return " ".join("".join(out).split())
-
-
-def _under(parent, content, i) -> bool:
-    while i > 0:
-        i = parent[i]
-        if content[i]:
-            return True
-    return False
+    reached, under = [False] * n, [False] * n
+    reached[b] = True
+    for i in range(b, n):  # parents come first
+        p = t.parent[i]
+        if i != b:
+            reached[i] = reached[p] and dens[p] >= least and chars[p] > 0
+            under[i] = under[p] or content[p]
+        if reached[i] and not content[i] and not under[i] and dens[i] >= least and total[best[i]] >= min(least, total[top]):
+            content[best[i]] = True
+    return content
 
 
 def _extract(c):

@@ -9,7 +9,7 @@ P = "<p>" + "word " * 40 + "</p>"
 WORDS = " ".join(["word"] * 40)
 CASES = {
     "": "", "plain text only": "plain text only", "<p>a<b>b</b>c</p><p>d</p>": "abc d", "<p>x < y & z &lt;b&gt; &amp;amp; &#x41;&nbsp;q": "x < y & z <b> &amp; A q", "<script>var a='<p>hi</p>'</script><p>ok": "ok",
-    "<!-- <p>no</p> --><p>one<p>two<ul><li>a<li>b</ul>": "one two a b", "<p>a<br>b</p>": "a b", "<title>t</title><style>p{}</style><p>x</p>": "x", "<p>unclosed <a href='x": "unclosed <a href='x", "a<!--": "a",
+    "<!-- <p>no</p> --><p>one<p>two<ul><li>a<li>b</ul>": "one two a b", "<p>a<br>b</p>": "a b", "<title>t</title><style>p{}</style><p>x</p>": "x", "<p>unclosed <a href='x": "unclosed <a href='x", "a<!--": "a", "a<!-- <b>": "a", "a<script>b<i>c": "a", "<p>a<!doctype x": "a", "a<![CDATA[<b>&amp;]]>c": "a<b>&amp;c",
 }
 
 
@@ -37,6 +37,41 @@ def test_density_without_names():
     assert main_text(page) == f"T {WORDS} {WORDS} short"
 
 
+def test_density_selects_and_lists_clean(sf):
+    """Density alone finds nearly all articles; with no list of names the whole body finds none."""
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    whole = [main_text(p) for p in pages]
+    same = lambda **how: sum(main_text(p, **how) == w for p, w in zip(pages, whole)) / len(pages)
+    assert same(named=False) > 0.95 and same(named=False, dense=False) == 0
+    junk = "<div><div><h3>More of it</h3><p>Read more here</p><p>And here</p></div></div>"
+    page = f"<body>{junk}<div><h1>T</h1>{P}{P}<div id=comments><p>" + "first " * 90 + f"</p></div></div>{junk}</body>"
+    assert main_text(page) == f"T {WORDS} {WORDS}" and main_text(page, dense=False) != main_text(page) != main_text(page, named=False)
+
+
+HARD = {
+    "open tags": lambda n: "<a " * n, "one end": lambda n: "<a " * n + ">", "quotes": lambda n: '<a href="x> y' * n + "'", "mixed quotes": lambda n: "<a b='\"> y" * n, "nested": lambda n: "<div>" * n + "x", "strange ends": lambda n: "<div>" * n + "</x>" * n,
+    "scripts": lambda n: "<script>" + "</script " * n, "paragraph around": lambda n: "<p><table><td>" + "<div>" * n, "comments": lambda n: "<!--" * n, "items": lambda n: "<ul>" + "<span>" * n + "<li>" * n, "classes": lambda n: "<a " + "class='" * n + ">", "bold": lambda n: "<b><p>" * n,
+}
+
+
+@pytest.mark.parametrize("kind", HARD)
+def test_time_in_proportion(kind):
+    """A page eight times as long takes about eight times as long, not 64 times."""
+    import time
+
+    def took(n):
+        best = 9e9
+        for _ in range(3):
+            began = time.process_time()
+            main_text(HARD[kind](n))
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert took(40_000) < 24 * max(took(5_000), 0.004)
+
+
 def test_deep_and_long():
     assert main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     assert len(main_text("<article>" + "<p>" + "word " * 400_000 + "</article>")) == 5 * 400_000 - 1
