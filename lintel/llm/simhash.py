@@ -4,6 +4,9 @@ A 64-bit fingerprint maps to the number of bits set in each of 32 segments of tw
 more than the Hamming distance of the fingerprints, so pairs within a Hamming radius lie within the same radius in the embedding. A grid over
 groups of segments finds these (at radius r, some g - r of g groups agree wholly), Manhattan distance thins them and Hamming distance verifies.
 
+Near-duplicates by word shingles (`similar_documents`) are found by several such fingerprints of the words' pairs, at a wider radius, and verified exactly by the
+shingles that two texts have in common.
+
 The vectors are held in unary: a segment's count 0, 1, 2 as 00, 01, 11. Manhattan distance is then the popcount of an exclusive or.
 """
 
@@ -17,77 +20,134 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, materialize, split_words, spread, table, tune
+from .common import byte_slices, discard, map_rows, materialize, release, split_words, spread, table, tune
 
 SEED = 42
 SHINGLE = 4
 RADIUS = 4
 #: Rows of one grid cell that one task compares; a larger cell is cut into blocks, and all pairs of blocks are compared by tasks of their own.
 CELL_ROWS = 16_384
-#: Up to so many nodes the further tables of near_duplicates take the coarse grid, which deals out 15 rows a fingerprint rather than 35.
-COARSE_ROWS = 20_000_000
+#: Near-duplicates by shingles: words of a shingle, and the share of the shingles of two texts, of either, that both have.
+WORDS, SIMILARITY = 5, 0.8
+#: How their candidates are found: fingerprints of pairs of words, how far two may be apart in one of these, and how far in the text's own fingerprint.
+TABLES, PAIR_RADIUS, OWN_RADIUS = 4, 6, 20
+#: Links of one text that are verified together.
+STAR = 64
 
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED, tables: int = 1) -> np.ndarray:
-    """SimHash of each text: A-Z in lower case, words [^\\x20\\x09-\\x0D]+, shingles with repeats; no word gives 0.
-
-    A row per table: the first is of the shingles' XXH64 itself, the others of that number mixed with the table's own.
-    """
-    import xxhash
-
-    off, codes, words = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+def _windows(off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each text's windows begin, the first and the last word of each): `size` words, or a whole shorter text; none for no words."""
     n = np.diff(off)
-    out = np.zeros((tables, len(n)), np.uint64)
-    if not len(codes):
-        return out
-    buf = " ".join(words.take(pa.array(codes)).to_pylist()).encode()
-    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
-    end = np.cumsum(size + 1) - 1
-    begin = end - size
-    count = np.where(n == 0, 0, np.maximum(1, n - shingle + 1))
+    count = np.where(n == 0, 0, np.maximum(1, n - size + 1))
     total = np.concatenate([[0], np.cumsum(count)])
     first = np.repeat(off[:-1] - total[:-1], count) + np.arange(total[-1])
-    last = first + np.repeat(np.minimum(n, shingle), count) - 1
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(buf[s:e], seed) for s, e in zip(begin[first].tolist(), end[last].tolist())), np.uint64, total[-1])
+    return total, first, first + np.repeat(np.minimum(n, size), count) - 1
+
+
+def _majority(h: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of each text's hashes, of which h[total[i] : total[i + 1]] are the i-th text's."""
+    count = np.diff(total)
+    out = np.zeros(len(count), np.uint64)
     full = np.flatnonzero(count)
-    # Sums of bits by document: byte lanes hold up to 255, so documents are cut into runs of that many shingles.
+    if not len(full):
+        return out
+    # Byte lanes hold up to 255, so texts are cut into runs of that many shingles.
     runs = (count[full] + 254) // 255
     run_doc = np.concatenate([[0], np.cumsum(runs)])
     cut = np.repeat(total[:-1][full], runs) + 255 * (np.arange(run_doc[-1]) - np.repeat(run_doc[:-1], runs))
-    for t in range(tables):
-        byte = _mixed(h, t).astype("<u8").view(np.uint8).reshape(-1, 8)
-        fp = np.zeros(len(full), np.uint64)
-        for j in range(8):
-            lanes = np.add.reduceat(_LANES[byte[:, j]], cut).astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones = np.add.reduceat(lanes.astype(np.int64), run_doc[:-1], axis=0)
-            bits = (2 * ones > count[full][:, None]).astype(np.uint64)
-            fp |= (bits << np.arange(8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) << np.uint64(8 * j)
-        out[t, full] = fp
+    byte = h.astype("<u8").view(np.uint8).reshape(-1, 8)
+    fp = np.zeros(len(full), np.uint64)
+    for j in range(8):
+        lanes = np.add.reduceat(_LANES[byte[:, j]], cut).astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(lanes.astype(np.int64), run_doc[:-1], axis=0)
+        bits = (2 * ones > count[full][:, None]).astype(np.uint64)
+        fp |= (bits << np.arange(8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) << np.uint64(8 * j)
+    out[full] = fp
     return out
 
 
+class _Texts:
+    """Words of texts, A-Z in lower case, with what is worked out from them."""
+
+    def __init__(self, texts: pa.Array):
+        self.off, self.codes, self.words = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+        self.joined = " ".join(self.words.take(pa.array(self.codes)).to_pylist()).encode()
+        size = pc.binary_length(self.words).to_numpy(zero_copy_only=False).astype(np.int64)[self.codes] if len(self.codes) else np.zeros(0, np.int64)
+        self.end = np.cumsum(size + 1) - 1
+        self.begin = self.end - size
+
+    def _digests(self, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+        import xxhash
+
+        digest, buf = xxhash.xxh64_intdigest, self.joined
+        return np.fromiter((digest(buf[s:e], seed) for s, e in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
+
+    def fingerprints(self, shingle: int, seed: int) -> np.ndarray:
+        """SimHash of the XXH64 of shingles, repeats included; no word gives 0."""
+        total, first, last = _windows(self.off, shingle)
+        return _majority(self._digests(self.begin[first], self.end[last], seed), total)
+
+    def keys(self) -> np.ndarray:
+        """XXH64 of each text's words, space-joined."""
+        full = np.flatnonzero(np.diff(self.off))
+        out = np.zeros(len(self.off) - 1, np.uint64)
+        out[full] = self._digests(self.begin[self.off[:-1][full]], self.end[self.off[1:][full] - 1], SEED)
+        return out
+
+    def hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(where each text's windows begin, a hash of each window of `size` words), without a call for each."""
+        import xxhash
+
+        word = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in self.words.to_pylist()), np.uint64, len(self.words))
+        total, first, last = _windows(self.off, size)
+        h = np.zeros(len(first), np.uint64)
+        for k in range(size):
+            at = np.minimum(first + k, last)
+            h = np.where(first + k <= last, _mixed(h ^ word[self.codes[at]], 1), h)
+        return total, h
+
+    def sets(self, size: int) -> list[np.ndarray]:
+        """The distinct window hashes of each text, sorted."""
+        total, h = self.hashes(size)
+        return [np.unique(h[a:b]) for a, b in zip(total[:-1], total[1:])]
+
+
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """SimHash of each text: A-Z in lower case, words [^\\x20\\x09-\\x0D]+, shingles with repeats; no word gives 0."""
+    return _Texts(texts).fingerprints(shingle, seed)
+
+
 def _mixed(h: np.ndarray, table: int) -> np.ndarray:
-    if not table:
-        return h
     x = h + np.uint64(0x9E3779B97F4A7C15 * table % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", tables: int = 1, keep: bool | list[str] = True) -> DataFrame:
-    """docs with its text's fingerprints as longs: fp, fp1, fp2, ... A null text has those of an empty one."""
+def with_fingerprint(docs: DataFrame, text: str = "text", tables: int = 0, keep: bool | list[str] = True) -> DataFrame:
+    """docs with its text's fingerprint as a long, fp. With `tables` also `key`, a hash of the text's words, and so many fingerprints of its pairs of words,
+    fp1, fp2, ... A null text has those of an empty one.
+    """
     from pyspark.sql import types as T
 
     names = _names(tables)
-    return map_rows(docs, [text], lambda c: dict(zip(names, fingerprints(c[text], tables=tables).view(np.int64))), [(n, T.LongType()) for n in names], keep)
+
+    def run(c):
+        t = _Texts(c[text])
+        out = {"fp": t.fingerprints(SHINGLE, SEED).view(np.int64)}
+        if tables:
+            total, h = t.hashes(2)
+            out["key"] = t.keys().view(np.int64)
+            out |= {f"fp{k}": _majority(_mixed(h, k), total).view(np.int64) for k in range(1, tables + 1)}
+        return out
+
+    return map_rows(docs, [text], run, [(n, T.LongType()) for n in names], keep)
 
 
 def _names(tables: int) -> list[str]:
-    return ["fp", *[f"fp{t}" for t in range(1, tables)]]
+    return ["fp", *["key"] * (tables > 0), *[f"fp{t}" for t in range(1, tables + 1)]]
 
 
 def _masks(groups: int, radius: int) -> list[int]:
@@ -98,17 +158,23 @@ def _masks(groups: int, radius: int) -> list[int]:
     return [signed(sum(block[k] for k in c)) for c in combinations(range(groups), groups - radius)]
 
 
-def _near(u, x, i, j, radius):
-    """Of candidate index pairs, those within the radius: first by Manhattan distance of the embedding, then by Hamming distance."""
-    close = np.bitwise_count(u[i] ^ u[j]) <= radius
-    i, j = i[close], j[close]
-    same = np.bitwise_count(x[i] ^ x[j]) <= radius
-    return i[same], j[same]
+def _nearness(x: np.ndarray, radius: int, own: np.ndarray | None, own_radius: int):
+    """Of candidate pairs i, j, which link: first by Manhattan distance of the embedding, then by Hamming distance, then by that of the texts' own fingerprints."""
+    u = _unary(x)
+
+    def near(i, j):
+        got = np.bitwise_count(u[i] ^ u[j]) <= radius
+        for y, r in ((x, radius), *([(own, own_radius)] if own is not None else [])):
+            k = j if np.isscalar(j) else j[got]
+            got[got] = np.bitwise_count(y[i[got]] ^ y[k]) <= r
+        return got
+
+    return near
 
 
-def _forest(key: np.ndarray, x: np.ndarray, u: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is linked within each run of equal keys: a few more than a spanning forest, never all pairs."""
-    n = len(x)
+def _forest(key: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is linked within each run of equal keys: a few more than a spanning forest, never all pairs. near says which of candidate pairs link."""
+    n = len(key)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, n))
     end = np.repeat(start + size, size)
@@ -118,9 +184,9 @@ def _forest(key: np.ndarray, x: np.ndarray, u: np.ndarray, radius: int) -> tuple
     act = np.flatnonzero(small)
     d = 1
     while len(act := act[end[act] > act + d]):
-        i, j = _near(u, x, act, act + d, radius)
-        new = label[i] != label[j]
-        i, j = i[new], j[new]
+        new = act[label[act] != label[act + d]]
+        new = new[near(new, new + d)]
+        i, j = new, new + d
         if len(i):
             a.append(i)
             b.append(j)
@@ -139,8 +205,7 @@ def _forest(key: np.ndarray, x: np.ndarray, u: np.ndarray, radius: int) -> tuple
             v = todo.pop()
             if not len(rest):
                 break
-            got = np.bitwise_count(u[rest] ^ u[v]) <= radius
-            got[got] = np.bitwise_count(x[rest[got]] ^ x[v]) <= radius
+            got = near(rest, v)
             if got.any():
                 found = rest[got]
                 a.append(np.full(len(found), v))
@@ -159,68 +224,75 @@ def _unary(x: np.ndarray) -> np.ndarray:
 LINK = "combo int, cell long, a long, b long, hot boolean"
 
 
-def _link(radius: int, most: int | None):
-    """Rows (combo, cell, fp), sorted by these, to links; a cell of over `most` rows comes out as it is, marked hot."""
+def _link(radius: int, most: int | None, own_radius: int):
+    """Rows (combo, cell, fp) or (combo, cell, fp, node, own), sorted by the first three, to links of fp or node; a cell of over `most` rows comes out as it
+    is, marked hot, with the row's own three numbers.
+    """
+
+    def links(c):
+        change = np.concatenate([[False], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])])
+        i, j = _forest(np.cumsum(change), _nearness(c[2].view(np.uint64), radius, c[4].view(np.uint64) if len(c) > 3 else None, own_radius))
+        node = c[3] if len(c) > 3 else c[2]
+        return out(c[0][i], c[1][i], node[i], node[j], [c[0][i]] * (len(c) - 3), False)
 
-    def links(combo, cell, fp):
-        key_change = np.concatenate([[False], (combo[1:] != combo[:-1]) | (cell[1:] != cell[:-1])])
-        i, j = _forest(np.cumsum(key_change), fp.view(np.uint64), _unary(fp.view(np.uint64)), radius)
-        return out(combo[i], cell[i], fp[i], fp[j], False)
+    def out(combo, cell, a, b, more, hot):
+        cols = {"combo": pa.array(combo, pa.int32()), "cell": pa.array(cell, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "hot": pa.array(np.full(len(a), hot))}
+        return pa.RecordBatch.from_pydict(cols | {n: pa.array(v, pa.int64()) for n, v in zip(("node", "own"), more)})
 
-    def out(combo, cell, a, b, hot):
-        return pa.RecordBatch.from_arrays([pa.array(combo, pa.int32()), pa.array(cell, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot))], names=["combo", "cell", "a", "b", "hot"])
+    def passed(c):
+        return out(c[0], c[1], c[2], c[2], c[3:], True)
 
-    def whole(combo, cell, fp):
+    def whole(c):
         """Of whole cells: the large ones as they are, the links of the others."""
         if most:
-            change = np.flatnonzero(np.concatenate([[True], (combo[1:] != combo[:-1]) | (cell[1:] != cell[:-1])]))
-            size = np.diff(np.append(change, len(fp)))
+            change = np.flatnonzero(np.concatenate([[True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])]))
+            size = np.diff(np.append(change, len(c[0])))
             big = np.repeat(size > most, size)
             if big.any():
-                yield out(combo[big], cell[big], fp[big], fp[big], True)
-                combo, cell, fp = combo[~big], cell[~big], fp[~big]
-        if len(fp):
-            yield links(combo, cell, fp)
+                yield passed([x[big] for x in c])
+                c = [x[~big] for x in c]
+        if len(c[0]):
+            yield links(c)
 
     def run(batches):
-        kept: list[tuple] = []
+        kept: list[list] = []
         rows = 0
         hot = None  # the cell that is passed through
         for batch in batches:
-            now = tuple(batch.column(k).to_numpy() for k in range(3))
+            now = [x.to_numpy() for x in batch.columns]
             if hot is not None:
                 own = (now[0] == hot[0]) & (now[1] == hot[1])
                 if own.any():
-                    yield out(*(c[own] for c in now), now[2][own], True)
+                    yield passed([x[own] for x in now])
                 if own.all():
                     continue
-                hot, now = None, tuple(c[~own] for c in now)
+                hot, now = None, [x[~own] for x in now]
             kept.append(now)
             rows += len(now[0])
             if rows < 65_536:
                 continue
-            combo, cell, fp = (np.concatenate(c) for c in zip(*kept))
-            last = np.flatnonzero((combo != combo[-1]) | (cell != cell[-1]))
+            c = [np.concatenate(x) for x in zip(*kept)]
+            last = np.flatnonzero((c[0] != c[0][-1]) | (c[1] != c[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield from whole(combo[:cut], cell[:cut], fp[:cut])
-            combo, cell, fp = combo[cut:], cell[cut:], fp[cut:]
-            if most and len(fp) > most:
-                hot = (combo[0], cell[0])
-                yield out(combo, cell, fp, fp, True)
-                combo, cell, fp = combo[:0], cell[:0], fp[:0]
-            kept, rows = [(combo, cell, fp)], len(fp)
+                yield from whole([x[:cut] for x in c])
+            c = [x[cut:] for x in c]
+            if most and len(c[0]) > most:
+                hot = (c[0][0], c[1][0])
+                yield passed(c)
+                c = [x[:0] for x in c]
+            kept, rows = [c], len(c[0])
         if rows:
-            combo, cell, fp = (np.concatenate(c) for c in zip(*kept))
-            yield from whole(combo, cell, fp)
+            yield from whole([np.concatenate(x) for x in zip(*kept)])
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, groups: int | None = None, cell_rows: int = CELL_ROWS, by: str | None = None) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, groups: int | None = None, cell_rows: int = CELL_ROWS, by: str | None = None, own_radius: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` (long) whose closure is that of all pairs within the radius.
 
-    With `by`, an int column from 0 on, only rows of the same number link, all numbers are gone through in one pass, and links are (by, a, b).
+    With `by`, an int column from 0 on, only rows of the same number are compared, all numbers in one pass. With `own_radius` rows also have a `node` (long), which links
+    name instead, and another fingerprint `own` (long) within whose radius a link must be too.
 
     Within a cell of the grid only enough links come out to join what is linked, so a dense group of n gives about n links, not n * n. `groups` sets
     how fine the grid is, and by default follows the number of fingerprints; any value gives the same closure. A cell of over `cell_rows` rows
@@ -228,26 +300,26 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, groups: int | None =
     """
     if groups is None:
         n = fps.count()
-        groups = radius + (2 if n < 20_000 else 3 if n < 50_000_000 else 4 if n < 5_000_000_000 else 6)
+        groups = radius + (2 if n < (1_000_000 if by else 20_000) else 3 if n < 50_000_000 else 4 if n < 5_000_000_000 else 6)
+    more = ["node", "own"] if own_radius is not None else []
     low = F.lit(0x5555555555555555).cast("long")
     x, y = F.col("fp"), F.shiftrightunsigned("fp", 1)
     unary = x.bitwiseOR(y).bitwiseAND(low).bitwiseOR(F.shiftleft(x.bitwiseAND(y).bitwiseAND(low), 1))
     masks = _masks(groups, radius)
     first = F.col(by) * len(masks) if by else F.lit(0)
-    cells = fps.select("fp", unary.alias("u"), first.alias("first")).select(
-        "fp", F.explode(F.array(*[F.struct((F.col("first") + k).alias("combo"), F.col("u").bitwiseAND(F.lit(m).cast("long")).alias("cell")) for k, m in enumerate(masks)])).alias("c")
+    cells = fps.select("fp", *more, unary.alias("u"), first.alias("first")).select(
+        "fp", *more, F.explode(F.array(*[F.struct((F.col("first") + k).alias("combo"), F.col("u").bitwiseAND(F.lit(m).cast("long")).alias("cell")) for k, m in enumerate(masks)])).alias("c")
     )
-    dealt = cells.select("c.combo", "c.cell", "fp").repartition("combo", "cell").sortWithinPartitions("combo", "cell", "fp")
-    found = materialize(dealt.mapInArrow(_link(radius, cell_rows), LINK), "links")
-    which = [F.floor(F.col("combo") / len(masks)).cast("int").alias(by)] if by else []
-    links = found.filter(~F.col("hot")).select(*which, "a", "b")
-    hot = found.filter("hot").select("combo", "cell", F.col("a").alias("fp"))
+    schema = LINK + "".join(f", {n} long" for n in more)
+    compare = lambda df, most: df.repartition("combo", "cell").sortWithinPartitions("combo", "cell", "fp").mapInArrow(_link(radius, most, own_radius or 0), schema)
+    found = materialize(compare(cells.select("c.combo", "c.cell", "fp", *more), cell_rows), "links")
+    links = found.filter(~F.col("hot")).select("a", "b")
+    hot = found.filter("hot").select("combo", "cell", F.col("a").alias("fp"), *more)
     if not hot.isEmpty():
         blocks = hot.groupBy("combo", "cell").agg(F.ceil(F.count("*") * 2 / cell_rows).cast("int").alias("blocks"))
-        mine = hot.join(blocks, ["combo", "cell"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pair = mine.select("combo", "fp", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell")).select("combo", "cell", "fp")
-        again = pair.repartition("combo", "cell").sortWithinPartitions("combo", "cell", "fp").mapInArrow(_link(radius, None), LINK)
-        links = links.unionByName(materialize(again, "hot-links").select(*which, "a", "b"))
+        mine = hot.join(blocks, ["combo", "cell"]).withColumn("own_block", F.pmod(F.xxhash64("fp", *more), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pair = mine.select("combo", F.xxhash64("cell", F.least("own_block", "other"), F.greatest("own_block", "other")).alias("cell"), "fp", *more)
+        links = links.unionByName(materialize(compare(pair, None), "hot-links").select("a", "b"))
     return links.distinct()
 
 
@@ -276,51 +348,111 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = 1) -> DataFrame:
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """rows with component_id, the least id of the nodes (node, least) that links join with its own."""
+    found = components(links).withColumnRenamed("node", "n")
+    linked = nodes.join(found, F.col(node) == F.col("n")).select(node, "least", "component")
+    named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(node, "component_id")
+    alone = nodes.join(found, F.col(node) == F.col("n"), "left_anti").select(node, F.col("least").alias("component_id"))
+    return rows.join(materialize(named.unionByName(alone), "components"), node)
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of each row of docs (doc_id, text; other columns are ignored).
 
-    Rows link if their fingerprints differ in at most `radius` bits, in any of `tables` independent fingerprints (the first of which is `fp`); component_id is the
-    smallest doc_id that can be reached, the row's own included. Null and empty texts have fingerprint 0, which links like any other. Repeated rows
-    come out as often as they go in; a row without an id takes part in links but names no component (where no row has an id, component_id is
-    null). An empty table gives no rows.
+    Rows link if their fingerprints differ in at most `radius` bits; component_id is the smallest doc_id that can be reached, the row's own included. Null and
+    empty texts have fingerprint 0, which links like any other. Repeated rows come out as often as they go in; a row without an id takes part in
+    links but names no component (where no row has an id, component_id is null). An empty table gives no rows.
 
     Texts are read once. Equal fingerprints are one node, with its least id, before anything is compared.
     """
+    rows = materialize(with_fingerprint(_source(docs), keep=["doc_id"]), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    return _classes(rows, nodes, fingerprint_links(nodes.select("fp"), radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, tables: int = TABLES, radius: int = PAIR_RADIUS, own_radius: int = OWN_RADIUS) -> DataFrame:
+    """doc_id, key and component_id of each row of docs (doc_id, text; other columns are ignored), by word shingles.
+
+    Texts of equal words, but for the case of A-Z, are one node, told by `key`. Nodes link if of the distinct shingles of `words` words that either has, at least
+    the share `similarity` is in both (a shorter text is one shingle): every link is verified on whole texts. Candidates are nodes whose fingerprints of pairs of words are
+    within `radius` in one of `tables` tables and whose own are within `own_radius`; that finds most but not all such pairs. Null, empty and repeated rows, rows without an id and
+    empty tables are as in near_duplicates.
+    """
     names = _names(tables)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = _source(docs)
     rows = materialize(with_fingerprint(source, tables=tables, keep=["doc_id"]), "fingerprints")
-    vectors = materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("least")), "nodes")
-    nodes = vectors.groupBy("fp").agg(F.min("least").alias("least")) if tables > 1 else vectors
-    links = fingerprint_links(nodes.select("fp"), radius)
-    if tables > 1:  # links between other fingerprints, told by the least first fingerprint of each
-        other = vectors.select("fp", F.posexplode(F.array(*names[1:])).alias("table", "other"))
-        named = materialize(other.groupBy("table", "other").agg(F.min("fp").alias("rep"), F.max("fp").alias("most")), "names")
-        groups = radius + 2 if named.count() < COARSE_ROWS * (tables - 1) else None
-        pairs = fingerprint_links(named.select("table", F.col("other").alias("fp")), radius, groups, by="table")
-        to = lambda c: named.select("table", F.col("other").alias(c), F.col("rep").alias(f"rep_{c}"))
-        found = pairs.join(to("a"), ["table", "a"]).join(to("b"), ["table", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        same = other.join(named.filter("rep <> most"), ["table", "other"]).filter("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
-        links = links.unionByName(materialize(found.unionByName(same).filter("a <> b").distinct(), "table-links"))
-    found = components(links)
-    linked = nodes.join(found, nodes["fp"] == found["node"]).select("fp", "least", "component")
-    named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
-    alone = nodes.join(found, nodes["fp"] == found["node"], "left_anti").select("fp", F.col("least").alias("component_id"))
-    ids = materialize(named.unionByName(alone), "components")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicate(docs: DataFrame, radius: int = RADIUS, tables: int = 1) -> DataFrame:
-    """docs with one document of each group of near-duplicates, that of the smallest doc_id; all columns stay.
-
-    Repeated rows of that id come down to one. Rows without an id all stay: nothing can name them.
+    nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.min(n).alias(n) for n in names if n != "key"]), "nodes")
+    turned = nodes.select(F.col("key").alias("node"), F.col("fp").alias("own"), F.posexplode(F.array(*names[2:])).alias("table", "other"))
+    found = materialize(fingerprint_links(turned.select("table", F.col("other").alias("fp"), "node", "own"), radius, by="table", own_radius=own_radius), "candidates")
+    return _classes(rows.select("doc_id", "key"), nodes.select("key", "least"), _verified(found, nodes, source, similarity, words), "key").select("doc_id", "key", "component_id")
+
+
+SETS = "key long, shingles binary"
+
+
+def _verified(links: DataFrame, nodes: DataFrame, source: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The links (a, b) whose texts are as similar as that.
+
+    Only linked texts are read again. A link's texts meet in a group of about STAR links of one text, so a text of many links is no single group.
+    """
+
+    def sets(batches):
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                t = _Texts(part.column("text"))
+                yield pa.RecordBatch.from_arrays([pa.array(t.keys().view(np.int64)), pa.array([x.tobytes() for x in t.sets(words)], pa.binary())], names=["key", "shingles"])
+        release()
+
+    used = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct()
+    ids = nodes.join(used, "key", "left_semi").select(F.col("least").alias("id")).distinct()
+    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    shingles = materialize(texts.mapInArrow(sets, SETS).join(used, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
+    many = links.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("stars"))
+    stars = links.join(many, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("stars"))).alias("star"), "a", "b")
+    wanted = stars.select("star", F.col("a").alias("key"), F.lit(True).alias("middle")).distinct().union(stars.select("star", F.col("b").alias("key"), F.lit(False).alias("middle")))
+
+    def run(batches):
+        star = middle = key = None
+        for batch in batches:
+            a, b = [], []
+            for s, m, k, x in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(x, np.uint64)
+                if m:
+                    star, middle, key = s, x, k
+                elif s == star:
+                    both = len(np.intersect1d(middle, x, assume_unique=True))
+                    if both >= similarity * (len(middle) + len(x) - both):
+                        a.append(key)
+                        b.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        release()
+
+    met = wanted.join(shingles, "key").select("star", "middle", "key", "shingles").repartition("star").sortWithinPartitions("star", F.desc("middle"))
+    return materialize(met.mapInArrow(run, "a long, b long"), "verified")
+
+
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, tables: int = TABLES) -> DataFrame:
+    """docs with one document of each group of near-duplicates by word shingles, that of the smallest doc_id; all columns stay.
+
+    Repeated rows of that id come down to one, and of an id of several texts each is decided on by its own. Rows without an id all stay: nothing can name them.
     """
-    found = materialize(near_duplicates(docs, radius, tables), "near-duplicates")
-    drop = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    twice = materialize(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeats")
+    found = materialize(similar_documents(docs, similarity, words, tables), "near-duplicates").filter("doc_id is not null")
+    per = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "decisions")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(per.filter("not stays").select("doc_id"), "doc_id", "left_anti").select(*columns)
+    twice = per.filter("stays and n > 1").select("doc_id")
     if twice.isEmpty():
         return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    once = kept.join(twice, "doc_id", "left_anti").select(*columns)
+    several = kept.join(twice, "doc_id", "left_semi").select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    keyed = with_fingerprint(several, tables=1).select("row", "id", "key")
+    stays = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id"), "key").distinct()
+    return once.unionByName(keyed.join(stays, ["id", "key"], "left_semi").dropDuplicates(["id"]).select("row.*"))
 
 
 def op8_simhash_near_dedup(spark, sf_dir):

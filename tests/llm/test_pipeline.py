@@ -24,7 +24,7 @@ def test_stages(spark):
     two = common.materialize(by["toxicity"](spark, one, sf), "t2")
     assert two.schema == docs.schema and ids(two) == ids(toxicity.score_toxicity(one, toxicity.train(one, labels)).filter("predicted = 0"))
     three = common.materialize(by["near_duplicates"](spark, two, sf), "t3")
-    assert three.schema == docs.schema and ids(three) == ids(simhash.near_duplicates(two, tables=cp.TABLES).filter("doc_id = component_id"))
+    assert three.schema == docs.schema and ids(three) == ids(simhash.similar_documents(two).filter("doc_id = component_id"))
     four = common.materialize(by["decontamination"](spark, three, sf), "t4")
     dirty = {r["doc_id"] for r in decontamination.contaminated_pairs(three, bench).collect()}
     assert four.schema == docs.schema and ids(four) == [i for i in ids(three) if i not in dirty] and dirty

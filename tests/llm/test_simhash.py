@@ -34,7 +34,7 @@ def brute_components(fps, radius=4):
 
 def test_fingerprints():
     texts = ["A b C d e É", "one", "one two three", "", None, "\x1c x", " \x0b\x0c ", "w " * 1000, "Ab ab AB ab ab", "\x85 \xa0 nbsp is a word"]
-    assert [int(x) for x in sh.fingerprints(pa.array(texts, pa.string()))[0]] == [brute_fp(t) for t in texts]
+    assert [int(x) for x in sh.fingerprints(pa.array(texts, pa.string()))] == [brute_fp(t) for t in texts]
 
 
 def test_bound():
@@ -86,53 +86,80 @@ def test_query(spark, sf):
     assert sorted((str(r[0]), int(r[1], 16), str(r[2])) for r in got.collect()) == brute(rows) and got.filter(~F.col("fingerprint").rlike("^[0-9a-f]{16}$")).count() == 0
 
 
-def test_more_tables_link_more(spark, sf):
-    """A link in any table counts; the closure is that of all pairs."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    rows = docs.collect()
-    fps = sh.fingerprints(pa.array([r["text"] for r in rows], pa.string()), tables=3)
-    parent = list(range(len(rows)))
+def shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if any((int(f[i]) ^ int(f[j])).bit_count() <= 4 for f in fps):
-                parent[find(i)] = find(j)
-    want = {}
-    for i, r in enumerate(rows):
-        want[find(i)] = min(want.get(find(i), r["doc_id"]), r["doc_id"])
-    got = {r["doc_id"]: r["component_id"] for r in sh.near_duplicates(docs, tables=3).collect()}
-    assert got == {r["doc_id"]: want[find(i)] for i, r in enumerate(rows)}
-    assert len(set(got.values())) <= len({r["component_id"] for r in sh.near_duplicates(docs).collect()})
+def similar(x, y):
+    return x == y or len(x & y) >= 0.8 * len(x | y)
+
+
+def edited(text, share, rng):
+    w = text.split(" ")
+    for i in rng.choice(len(w), max(1, round(share * len(w))), replace=False):
+        w[i] = f"word{rng.integers(1000)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("star", [64, 2])
+def test_similar_documents_against_all_pairs(spark, sf, star, monkeypatch):
+    """Every class is held together by pairs of 0.8 or more of their shingles, and nearly all such pairs are in one class."""
+    monkeypatch.setattr(sh, "STAR", star)
+    rng = np.random.default_rng(4)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    long = [t for _, t in rows if 60 < len(t.split(" ")) < 3000][:40]
+    rows += [(10_000 + k, edited(t, (0.004, 0.01, 0.02, 0.04)[k % 4], rng)) for k, t in enumerate(long * 2)] + [(20_000 + k, long[0].upper()) for k in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])]
+    together = [got[rows[i][0]] == got[rows[j][0]] for i, j in pairs]
+    assert len(pairs) > 60 and np.mean(together) >= 0.9
+    joined = {d: d for d, _ in rows}
+    for i, j in sorted(pairs):
+        if got[rows[i][0]] == got[rows[j][0]]:
+            x, y = joined[rows[i][0]], joined[rows[j][0]]
+            joined = {d: min(x, y) if v in (x, y) else v for d, v in joined.items()}
+    assert joined == got
+
+
+def test_similar_odd_rows(spark, odd):
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in sh.similar_documents(odd).collect())
+    empty = {"2", "3", "4"}
+    want = [(str(r["doc_id"]), "1" if str(r["doc_id"]) in ("1", "7") else "2" if str(r["doc_id"]) in empty or r["text"] is None else str(r["doc_id"])) for r in odd.collect()]
+    assert got == sorted(want)
 
 
 def test_deduplicate(spark, odd):
     out = sh.deduplicate(odd)
     assert out.columns == odd.columns
     ids = [r["doc_id"] for r in out.collect()]
-    comp = {r["doc_id"]: r["component_id"] for r in sh.near_duplicates(odd).collect() if r["doc_id"] is not None}
+    comp = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(odd).collect() if r["doc_id"] is not None}
     assert sorted(i for i in ids if i is not None) == sorted(set(comp.values())) and ids.count(None) == 2
 
 
+def test_one_id_of_two_texts(spark):
+    """Each row is decided on by its own text, and no group goes as a whole."""
+    a, b = "alpha beta gamma delta epsilon zeta", "some other words stand here in line"
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "y"), (5, b, "z"), (5, b, "z"), (6, "on its own it stays whole", None), (6, "on its own it stays whole", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string")
+    assert sorted(tuple(r)[:2] for r in sh.deduplicate(df).collect()) == [(1, a), (2, b), (6, "on its own it stays whole")]
+
+
 def test_empty(spark, none):
-    assert sh.near_duplicates(none).collect() == [] and sh.deduplicate(none).collect() == []
+    assert sh.near_duplicates(none).collect() == [] and sh.similar_documents(none).collect() == [] and sh.deduplicate(none).collect() == []
 
 
 def test_tables_in_one_pass(spark):
     """Rows of different tables never link, whether a cell is cut into blocks or not."""
     rows = [(t, base ^ (1 << b)) for t, base in ((0, 0), (1, 0), (2, 12345 << 20)) for b in range(40)]
-    df = spark.createDataFrame(rows, "t int, fp long")
+    df = spark.createDataFrame([(t, f, 1000 * t + k % 40, (1 << 40) - 1 if k % 40 >= 30 else 0) for k, (t, f) in enumerate(rows)], "t int, fp long, node long, own long")
     for cell_rows in (16384, 10):
-        links = sh.fingerprint_links(df, groups=6, cell_rows=cell_rows, by="t").collect()
-        for t in range(3):
-            mine = sorted(f for k, f in rows if k == t)
-            got = brute_closure(mine, [(r["a"], r["b"]) for r in links if r["t"] == t])
-            assert got == 1
-        assert {(r["t"], r["a"]) for r in links} | {(r["t"], r["b"]) for r in links} <= set(rows)
+        links = sh.fingerprint_links(df, groups=6, cell_rows=cell_rows, by="t", own_radius=20).collect()
+        assert all(r["a"] // 1000 == r["b"] // 1000 for r in links)
+        for t in range(3):  # the last ten are far off by their own fingerprints
+            mine = range(1000 * t, 1000 * t + 40)
+            assert brute_closure(mine, [(r["a"], r["b"]) for r in links if r["a"] in mine]) == 2
 
 
 def brute_closure(nodes, links):
