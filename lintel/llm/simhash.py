@@ -177,19 +177,19 @@ def _forest(key: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
     n = len(key)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, n))
-    end = np.repeat(start + size, size)
     a, b = [], []
     label = np.arange(n)
-    small = np.repeat(size <= 256, size)
-    act = np.flatnonzero(small)
-    d = 1
-    while len(act := act[end[act] > act + d]):
-        new = act[label[act] != label[act + d]]
-        new = new[near(new, new + d)]
-        i, j = new, new + d
+    act = np.flatnonzero(np.repeat(size <= 256, size))
+    at = np.repeat(start, size)
+    d = 0
+    while len(act := act[act > at[act] + d]):  # each row against its cell's first one, second one, ...: links lead to few rows
+        hub = at[act] + d
+        i = act[label[act] != label[hub]]
+        i = i[near(i, at[i] + d)]
+        j = at[i] + d
         if len(i):
-            a.append(i)
-            b.append(j)
+            a.append(j)
+            b.append(i)
             lo, hi = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
             np.minimum.at(label, hi, lo)
             while not np.array_equal(nxt := label[label], label):
@@ -311,7 +311,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, groups: int | None =
         "fp", *more, F.explode(F.array(*[F.struct((F.col("first") + k).alias("combo"), F.col("u").bitwiseAND(F.lit(m).cast("long")).alias("cell")) for k, m in enumerate(masks)])).alias("c")
     )
     schema = LINK + "".join(f", {n} long" for n in more)
-    compare = lambda df, most: df.repartition("combo", "cell").sortWithinPartitions("combo", "cell", "fp").mapInArrow(_link(radius, most, own_radius or 0), schema)
+    compare = lambda df, most: df.repartition("combo", "cell").sortWithinPartitions("combo", "cell", *(more[:1] or ["fp"])).mapInArrow(_link(radius, most, own_radius or 0), schema)
     found = materialize(compare(cells.select("c.combo", "c.cell", "fp", *more), cell_rows), "links")
     links = found.filter(~F.col("hot")).select("a", "b")
     hot = found.filter("hot").select("combo", "cell", F.col("a").alias("fp"), *more)
@@ -409,7 +409,8 @@ def _verified(links: DataFrame, nodes: DataFrame, source: DataFrame, similarity:
         release()
 
     used = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct()
-    ids = nodes.join(used, "key", "left_semi").select(F.col("least").alias("id")).distinct()
+    used = materialize(used, "linked")  # a table, whose size Spark knows: a small one is broadcast rather than all texts dealt out
+    ids = materialize(nodes.join(used, "key", "left_semi").select(F.col("least").alias("id")).distinct(), "ids")
     texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
     shingles = materialize(texts.mapInArrow(sets, SETS).join(used, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
     many = links.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("stars"))
