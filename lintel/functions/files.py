@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import TEXT_EXTENSIONS
+from .text import TEXT_EXTENSIONS, trimmed
 
 #: Extensions that are let in, those that are refused by name, and refused content types.
 ALLOWED = (
@@ -25,12 +25,12 @@ MAX_ATTEMPTS = 3
 STALE_MS = 45_000
 BACKOFF_MS = 250
 
-#: Patterns, the same in Java and RE2.
-EXTENSION = r"[^/\\]\.([^./\\]+)$"
-LAST_SEGMENT = r"([^/\\]*)$"
+#: Patterns, the same in Java and RE2. \z is the end itself: $ would let a line break stand behind it.
+EXTENSION = r"[^/\\]\.([^./\\]+)\z"
+LAST_SEGMENT = r"([^/\\]*)\z"
 NAME_RUNS = r"[^\w.\- ()\[\]]+"
-JOB_ID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+JOB_ID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
 def extension_of(name: Column) -> Column:
@@ -39,7 +39,7 @@ def extension_of(name: Column) -> Column:
 
 
 def content_type_of(raw: Column) -> Column:
-    return F.trim(F.split(F.lower(raw), ";")[0])
+    return trimmed(F.split(F.lower(raw), ";")[0])
 
 
 def admission(name: Column, content_type: Column, size: Column, cap: Column | int = MAX_BYTES) -> Column:
@@ -89,7 +89,7 @@ def object_key(job_id: Column, kind: str) -> Column:
 
 def parse_positive(raw: Column, default: float) -> Column:
     """A positive finite number, else the default; only decimal text is read as a number."""
-    text = F.trim(raw)
+    text = trimmed(raw)
     value = F.when(text.rlike(NUMBER), text.try_cast("double"))
     return F.when((value > 0) & (value < float("inf")), value).otherwise(F.lit(float(default)))
 
@@ -103,7 +103,7 @@ def download_name(name: Column) -> Column:
     return (
         F.when((base == "") | F.startswith(base, F.lit(".")), F.concat(F.lit("cleaned."), fallback))
         .when(ext == "", F.concat(base, F.lit(".cleaned."), fallback))
-        .otherwise(F.concat(F.regexp_replace(base, r"\.[^.]*$", ""), F.lit(".cleaned."), ext))
+        .otherwise(F.concat(F.regexp_replace(base, r"\.[^.]*\z", ""), F.lit(".cleaned."), ext))
     )
 
 

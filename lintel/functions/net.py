@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import trimmed
+
 #: Patterns of addresses and keys.
-IPV4 = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
-MAPPED_DOTTED = r"^(?:0:0:0:0:0:ffff:|::ffff:)((?:[0-9]{1,3}\.){3}[0-9]{1,3})$"
-MAPPED_HEX = r"^(?:0:0:0:0:0:ffff:|::ffff:)([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
+IPV4 = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\z"
+MAPPED_DOTTED = r"^(?:0:0:0:0:0:ffff:|::ffff:)((?:[0-9]{1,3}\.){3}[0-9]{1,3})\z"
+MAPPED_HEX = r"^(?:0:0:0:0:0:ffff:|::ffff:)([0-9a-f]{1,4}):([0-9a-f]{1,4})\z"
 ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)"
-BEARER = r"(?i)^Bearer\s+(.+)$"
+BEARER = r"(?i)^Bearer\s+([^\n\r\x{2028}\x{2029}]+)\z"
+#: A scheme, perhaps a user, and the host behind it.
+HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#@\[\]\s]+)(?::[0-9]*)?(?:[/?#]|\z)"
 LOCAL_HOSTS = ("localhost", "localhost.", "::1", "0:0:0:0:0:0:0:1", "::", "0.0.0.0")
 
 
@@ -20,7 +24,7 @@ def ipv4_loopback(ip: Column) -> Column:
 
 
 def loopback_host(host: Column) -> Column:
-    h = F.regexp_replace(F.lower(host), r"^\[|\]$", "")
+    h = F.regexp_replace(F.lower(host), r"^\[|\]\z", "")
     word = lambda k: F.conv(F.regexp_extract(h, MAPPED_HEX, k), 16, 10).try_cast("int")
     first = F.shiftright(word(1), 8)
     return (
@@ -32,12 +36,38 @@ def loopback_host(host: Column) -> Column:
     )
 
 
+def url_host(host: Column) -> Column:
+    """A host as addresses name it: numbers in decimal, hexadecimal or octal, of one to four parts, are an IPv4 address, and zeros of IPv6 are left
+    out. Null for a number that is no address.
+    """
+    h = F.lower(host)
+    parts = F.split(F.regexp_replace(h, r"\.\z", ""), r"\.")
+    last = F.element_at(parts, -1)
+
+    def value(p):
+        return (
+            F.when(p.rlike(r"^0x[0-9a-f]{0,12}\z"), F.conv(F.concat(F.lit("0"), F.substr(p, F.lit(3))), 16, 10).try_cast("long"))
+            .when(p.rlike(r"^0[0-7]{1,12}\z"), F.conv(p, 8, 10).try_cast("long")).when(p.rlike(r"^(0|[1-9][0-9]{0,14})\z"), p.try_cast("long"))
+        )
+
+    n = F.transform(parts, value)
+    count = F.size(parts)
+    rest = F.element_at(n, -1)
+    fits = (count <= 4) & F.forall(n, lambda x: x.isNotNull()) & F.forall(F.slice(n, 1, count - 1), lambda x: x <= 255) & (rest < F.pow(F.lit(256), 5 - count))
+    front = F.aggregate(F.transform(F.slice(n, 1, count - 1), lambda x, i: x * F.pow(F.lit(256), 3 - i).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    ip = front + rest
+    dotted = F.concat_ws(".", *[(F.shiftright(ip, k).bitwiseAND(F.lit(255).cast("long"))).cast("string") for k in (24, 16, 8, 0)])
+    six = F.regexp_replace(h, r"^\[|\]\z", "")
+    short = F.when(six.rlike(r"^[0:]*:0{0,3}1\z"), "::1").when(six.rlike(r"^[0:]+\z"), "::").otherwise(F.regexp_replace(six, r"^[0:]*:ffff:", "::ffff:"))
+    return F.when(h.contains(":"), short).when(~last.rlike(r"^([0-9]+|0x[0-9a-f]*)\z"), h).when(F.coalesce(fits, F.lit(False)), dotted)
+
+
 def resolve_url(environment: Column, url: Column) -> Column:
     """struct(resolved, reason): where the remote service is, or why there is none."""
-    raw = F.trim(url)
-    host = F.try_parse_url(raw, F.lit("HOST"))
+    raw = trimmed(url)
+    host = url_host(F.nullif(F.regexp_extract(raw, HOST, 1), F.lit("")))
     reason = F.when(F.coalesce(raw, F.lit("")) == "", F.lit(None).cast("string")).when(host.isNull(), "invalid_cleaner_url").when(loopback_host(host) & (environment == "production"), "loopback_unreachable_in_production")
-    resolved = F.when((F.coalesce(raw, F.lit("")) != "") & reason.isNull(), F.regexp_replace(raw, "/$", ""))
+    resolved = F.when((F.coalesce(raw, F.lit("")) != "") & reason.isNull(), F.regexp_replace(raw, r"/\z", ""))
     return F.struct(resolved.alias("resolved"), reason.alias("reason"))
 
 
@@ -56,19 +86,19 @@ def cors_origin(request_url: Column, origin: Column, allowed: Column) -> Column:
 
 def bearer_ok(header: Column, key: Column) -> Column:
     """Open without a key; else the token must equal it."""
-    want = F.trim(F.coalesce(key, F.lit("")))
+    want = trimmed(F.coalesce(key, F.lit("")))
     return (want == "") | (F.regexp_extract(F.coalesce(header, F.lit("")), BEARER, 1) == want)
 
 
 def route(method: Column, path: Column) -> Column:
-    job = path.rlike(r"^/api/jobs/[^/]+$")
+    job = path.rlike(r"^/api/jobs/[^/]+\z")
     return (
         F.when((path == "/api/health") & (method == "GET"), "health")
         .when((path == "/api/upload") & (method == "POST"), "upload")
         .when(path.isin("/api/jobs", "/api/clean") & (method == "POST"), "start_job")
-        .when(path.rlike(r"^/api/jobs/[^/]+/download$") & (method == "GET"), "download")
-        .when(path.rlike(r"^/api/jobs/[^/]+/report$") & (method == "GET"), "job_report")
-        .when((job | path.rlike(r"^/api/jobs/[^/]+/(download|report)$")) & (method == "GET"), "job_status")
+        .when(path.rlike(r"^/api/jobs/[^/]+/download\z") & (method == "GET"), "download")
+        .when(path.rlike(r"^/api/jobs/[^/]+/report\z") & (method == "GET"), "job_report")
+        .when((job | path.rlike(r"^/api/jobs/[^/]+/(download|report)\z")) & (method == "GET"), "job_status")
         .otherwise("not_found")
     )
 
@@ -116,6 +146,12 @@ def health(bound: Column, environment: Column, url: Column, reply_status: Column
     return F.struct(status.alias("status"), (status != "unconfigured").alias("configured"))
 
 
+def reply_headers(allowed: Column) -> Column:
+    """The headers of a reply to a browser, as a map; empty where cors_origin named no origin."""
+    fixed = {"access-control-allow-methods": "GET,POST,OPTIONS", "access-control-allow-headers": "authorization,content-type,idempotency-key", "vary": "Origin"}
+    return F.when(allowed.isNotNull(), F.create_map(F.lit("access-control-allow-origin"), allowed, *[F.lit(x) for kv in fixed.items() for x in kv])).otherwise(F.create_map().cast("map<string,string>"))
+
+
 def error_category(raw: Column) -> Column:
     """The first category that an error text names, else the text itself."""
     out = F.coalesce(raw, F.lit("error"))

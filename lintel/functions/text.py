@@ -52,6 +52,15 @@ def histogram_text(codes: Column) -> Column:
     return F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit("="), F.size(F.filter(codes, lambda c: c == k)).cast("string"))), ";")
 
 
+#: Fixed value: what counts as white space around a header, a key or an address.
+WHITE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends; F.trim takes spaces alone."""
+    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+\z", "")
+
+
 def drop_leading_bom(text: Column) -> Column:
     """Decoding takes one byte order mark at the start away, without counting it."""
     return F.when(F.startswith(text, F.lit(BOM)), F.substr(text, F.lit(2))).otherwise(text)

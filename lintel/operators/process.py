@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..arrow import bounded
+from ..arrow import batches_of, bounded
 from ..functions import files as fx
 from ..functions import text as tx
 from . import packages, reports, scrub
@@ -72,17 +72,20 @@ def call_remote(files: DataFrame, transport, attempts: int = fx.MAX_ATTEMPTS, fi
             return 502, "cleaner_missing_cleaned", None
         return status, None, reply
 
+    def rows(b):
+        for key, data, name, media in zip(*b.columns):
+            for n in range(1, attempts + 1):
+                status, error, reply = once(data.as_py(), name.as_py())
+                low = (error or "").lower()
+                if error is None or n == attempts or not (status >= 500 or status == 0 or "unreachable" in low or "timeout" in low):
+                    break
+                time.sleep(first_ms * 2 ** (n - 1) / 1000)
+            row = [None] * 3 if error else [base64.b64decode(reply["cleaned"]), reply["kind"] if isinstance(reply.get("kind"), str) else "unknown", json.dumps(reply.get("report"))]
+            yield dict(zip(["job_id", *_REMOTE.names], [key.as_py(), *row, media.as_py(), error, n])), len(row[0] or b"") + len(row[2] or "")
+
     def run(batches):
         for b in batches:
-            for k in range(b.num_rows):
-                for n in range(1, attempts + 1):
-                    status, error, reply = once(b.column(1)[k].as_py(), b.column(2)[k].as_py())
-                    low = (error or "").lower()
-                    if error is None or n == attempts or not (status >= 500 or status == 0 or "unreachable" in low or "timeout" in low):
-                        break
-                    time.sleep(first_ms * 2 ** (n - 1) / 1000)
-                row = [None] * 3 if error else [base64.b64decode(reply["cleaned"]), reply["kind"] if isinstance(reply.get("kind"), str) else "unknown", json.dumps(reply.get("report"))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), *[pa.array([v], f.type) for v, f in zip([*row, b.column(3)[k].as_py(), error, n], _REMOTE)]], names=["job_id", *_REMOTE.names])
+            yield from batches_of(rows(b), pa.schema([("job_id", b.schema.field(0).type), *_REMOTE]))
 
     columns = ["job_id", "content", "name", "content_type"]
     return files.select(*columns).mapInArrow(run, f"job_id {kind}, cleaned binary, kind string, report string, content_type string, error string, attempts int")

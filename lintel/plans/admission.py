@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import files as fx
+from ..functions import text as tx
 from .registry import query, quoted, table
 
 SUFFIXES = (".txt", ".MD", ".html", ".docx", ".pdf", ".exe", ".zip", ".PNG", "", ".")
-TYPES = ("text/plain; charset=utf-8", "Application/X-MSDownload ; q=1", None, "application/pdf")
+TYPES = ("text/plain; charset=utf-8", "\tApplication/X-MSDownload \u00a0; q=1", None, "application/pdf")
 CAP = 5000
 
 
@@ -36,7 +37,7 @@ def _in(values) -> str:
 
 
 ADMIT = f"""admitted as (select *, case when size <= 0 then 'empty_file' when size > {CAP} then 'file_too_large' when ext = '' then 'missing_extension' when ext in {_in(fx.BLOCKED)} then 'extension_blocked'
-  when ext not in {_in(fx.ALLOWED)} then 'extension_not_allowed' when trim(split_part(lower(content_type), ';', 1)) in {_in(fx.BLOCKED_TYPES)} then 'content_type_blocked' else 'ok' end as code
+  when ext not in {_in(fx.ALLOWED)} then 'extension_not_allowed' when trim(split_part(lower(content_type), ';', 1), ' ' || chr(9) || chr(160)) in {_in(fx.BLOCKED_TYPES)} then 'content_type_blocked' else 'ok' end as code
   from (select *, {ext_sql('name')} as ext from names))"""
 
 
@@ -62,11 +63,13 @@ def route_backend(spark, sf_dir):
 
 @query(
     f"""with i as (select doc_id, case doc_id % 4 when 0 then printf('%08x-1111-4111-8111-%012x', doc_id, doc_id) when 1 then upper(printf('%08x-abcd-4111-8111-%012x', doc_id, doc_id))
-    when 2 then '../etc/passwd' else printf('%08x-1111-4111-8111-%011x', doc_id, doc_id) end as id from documents) select doc_id, id, regexp_matches(id, {quoted(fx.JOB_ID)}) as valid from i"""
+    when 2 then '../etc/passwd' else printf('%08x-1111-4111-8111-%011x', doc_id, doc_id) end || case when doc_id % 8 = 0 then chr(10) else '' end as id from documents)
+    select doc_id, id, length(id) = 36 and regexp_full_match(lower(replace(id, '-', '')), '[0-9a-f]{{32}}') and [length(x) for x in string_split(id, '-')] = [8, 4, 4, 4, 12] as valid from i"""
 )
 def job_id_valid(spark, sf_dir):
     k = F.col("doc_id")
     job = F.when(k % 4 == 0, F.format_string("%08x-1111-4111-8111-%012x", k, k)).when(k % 4 == 1, F.upper(F.format_string("%08x-abcd-4111-8111-%012x", k, k))).when(k % 4 == 2, "../etc/passwd").otherwise(F.format_string("%08x-1111-4111-8111-%011x", k, k))
+    job = F.concat(job, F.when(k % 8 == 0, "\n").otherwise(""))
     return table(spark, sf_dir, "documents").select("doc_id", job.alias("id")).select("doc_id", "id", fx.job_id_valid(F.col("id")).alias("valid"))
 
 
@@ -79,11 +82,11 @@ def object_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[fx.object_key(k, kind).alias(f"{name}_key") for name, kind in (("original", "original"), ("cleaned", "cleaned"), ("report", "report.json"), ("meta", "meta.json"))])
 
 
-RAW = ("5000", "0", "-3", "abc", "", " 7 ", "12.5", "1e3", ".5", "Infinity", "33554432", "1e999", None)
+RAW = ("5000", "0", "-3", "abc", "", " 7 ", "12.5", "1e3", ".5", "Infinity", "33554432", "1e999", "\t9\n", "8\u2003", None)
 
 
 @query(
-    f"""with r(raw) as (values {', '.join('(null)' if x is None else f'({quoted(x)})' for x in RAW)}), v as (select raw, case when regexp_matches(trim(raw), {quoted(fx.NUMBER)}) then try_cast(trim(raw) as double) end as d from r)
+    f"""with r(raw) as (values {', '.join('(null)' if x is None else '(' + quoted(x).replace(chr(9), chr(39) + ' || chr(9) || ' + chr(39)).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39)) + ')' for x in RAW)}), v as (select raw, case when regexp_matches(t, {quoted(fx.NUMBER)}) then try_cast(t as double) end as d from (select raw, trim(raw, ' ' || chr(9) || chr(10) || chr(8195)) as t from r))
     select raw, case when d > 0 and d < 'infinity'::double then d else {float(fx.MAX_BYTES)}::double end as value from v"""
 )
 def parse_positive(spark, sf_dir):
@@ -108,3 +111,16 @@ def download_name(spark, sf_dir):
 def format_size(spark, sf_dir):
     n = F.col("n_chars") * (F.col("doc_id") % 900 + 1)
     return table(spark, sf_dir, "documents").select("doc_id", fx.format_size(n).alias("label"))
+
+
+@query(f"with {NAMES} select doc_id, size * 9000 > {fx.MAX_BYTES} + 1048576 as too_large from names")
+def header_too_large(spark, sf_dir):
+    return names(spark, sf_dir).select("doc_id", fx.header_too_large(F.col("size") * 9000).alias("too_large"))
+
+
+@query("select doc_id, replace(replace(replace(text, 'e ', 'e' || chr(160)), 'n ', 'n' || chr(8239)), 's ', 's' || chr(12288)) <> text as had, sha256(text) as digest from documents")
+def spaces_normalized(spark, sf_dir):
+    """Texts with spaces of other widths put in, which normalising takes out again."""
+    text = F.col("text")
+    odd = F.replace(F.replace(F.replace(text, F.lit("e "), F.lit("e\u00a0")), F.lit("n "), F.lit("n\u202f")), F.lit("s "), F.lit("s\u3000"))
+    return table(spark, sf_dir, "documents").select("doc_id", (odd != text).alias("had"), F.sha2(tx.normalize_spaces(odd), 256).alias("digest"))

@@ -8,7 +8,7 @@ from ..functions import net
 from ..operators import jobs as jb
 from .registry import query, quoted, table
 
-HOSTS = ("127.0.0.1", "127.0.0.2", "localhost", "LOCALHOST.", "::1", "[::1]", "::ffff:127.0.0.1", "[::ffff:127.0.0.1]", "::ffff:7f00:1", "0:0:0:0:0:ffff:7f01:2", "0.0.0.0", "::", "cleaner.example", "8.8.8.8", "::ffff:8.8.8.8", "127.0.0.256", "::ffff:808:808", "1270.0.0.1", "")
+HOSTS = ("127.1.2.3", "127.255.255.254", "localhost", "LocalHost.", "::1", "[::1]", "::ffff:127.9.9.9", "[::ffff:127.9.9.9]", "::ffff:7f09:9", "0:0:0:0:0:ffff:7fff:1", "0.0.0.0", "::", "files.example", "9.9.9.9", "::ffff:9.9.9.9", "127.0.0.300", "::ffff:909:909", "1277.0.0.1", "")
 
 
 def values(names: str, rows) -> str:
@@ -35,12 +35,18 @@ def loopback_host(spark, sf_dir):
 
 
 ADDRESSES = (
-    ("production", "http://127.0.0.1:8765"), ("production", "http://[::ffff:127.0.0.1]:8765"), ("development", "http://127.0.0.1:8765/"), ("production", "not-a-url"), ("production", "https://cleaner.example/api/"),
-    ("production", "  https://cleaner.example//  "), ("development", ""), ("production", None), ("production", "http://localhost/x"), ("development", "http://[::1]:1/"),
+    *[("production", f"http://{h}/") for h in ("127.9.9.9:9000", "[::ffff:127.9.9.9]:9000", "localhost", "2130706433", "0x7f000001", "0177.0.0.1", "127.1", "127.0.1", "0x7f.1", "256.1.1.1", "1.2.3.4.5", "9.9.9.9", "[0:0:0:0:0:0:0:1]", "me@127.2", "08.1", "4294967296", "files.example")],
+    ("development", "http://127.9.9.9:9000/"), ("production", "no address"), ("production", "  https://files.example//  "), ("development", ""), ("production", None), ("development", "http://[::1]:1/"), ("production", "http:// x/"),
 )
-_URL = r"^[a-z][a-z0-9+.-]*://(\[[^\]]*\]|[^/:?#]+)"
-RESOLVE = f"""r as (select *, trim(coalesce(url, '')) as raw, regexp_extract(trim(coalesce(url, '')), '{_URL}', 1) as host from u),
- w as (select *, case when raw = '' then null when host = '' then 'invalid_cleaner_url' when {loop_sql('host')} and environment = 'production' then 'loopback_unreachable_in_production' end as reason from r),
+_URL = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#\s]+)"
+RESOLVE = f"""r as (select *, trim(coalesce(url, '')) as raw, lower(regexp_extract(trim(coalesce(url, '')), '{_URL}', 1)) as h from u),
+ n as (select *, string_split(h, '.') as parts, list_transform(string_split(h, '.'), lambda x: case when regexp_full_match(x, '0x[0-9a-f]+') then try_cast(x as bigint)
+   when regexp_full_match(x, '0[0-7]+') then cast(list_sum(list_transform(range(length(x)), lambda i: cast(substring(x, cast(i as integer) + 1, 1) as bigint) * pow(8, length(x) - 1 - i))) as bigint)
+   when regexp_full_match(x, '0|[1-9][0-9]*') then try_cast(x as bigint) end) as n from r),
+ i as (select *, n[-1] + cast(coalesce(list_sum(list_transform(range(len(n) - 1), lambda k: n[k + 1] * pow(256, 3 - k))), 0) as bigint) as ip from n),
+ q as (select *, case when regexp_full_match(h, '\\[[0:]*:0*1\\]') then '::1' when h like '%:%' or not regexp_full_match(parts[-1], '[0-9]+|0x[0-9a-f]*') then h
+   when len(n) <= 4 and list_count(n) = len(n) and coalesce(list_max(n[:-2]), 0) <= 255 and n[-1] < pow(256, 5 - len(n)) then concat_ws('.', ip // 16777216, ip // 65536 % 256, ip // 256 % 256, ip % 256) end as host from i),
+ w as (select *, case when raw = '' then null when h = '' or host is null then 'invalid_cleaner_url' when {loop_sql('host')} and environment = 'production' then 'loopback_unreachable_in_production' end as reason from q),
  x as (select *, case when raw <> '' and reason is null then regexp_replace(raw, '/$', '') end as resolved from w)"""
 
 
@@ -61,6 +67,26 @@ def cors_decision(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", net.cors_origin(F.col("url"), origin, F.lit(ALLOWED_ORIGIN)).alias("allowed"))
 
 
+@query(
+    f"""with u as {values('environment, url', ADDRESSES)}, {RESOLVE}, b as (select unnest([true, false]) as bound) select environment, url, bound, bound or resolved is not null as available from x, b"""
+)
+def remote_available(spark, sf_dir):
+    rows = spark.createDataFrame([(e, u, b) for e, u in ADDRESSES for b in (True, False)], "environment string, url string, bound boolean")
+    return rows.select("environment", "url", "bound", net.remote_available(F.col("bound"), F.col("environment"), F.col("url")).alias("available"))
+
+
+@query(
+    f"""with o as (select page_id, {_ORIGIN} as own, case page_id % 3 when 0 then {_ORIGIN} when 1 then 'https://evil.example' end as origin from pages)
+    select page_id, case when origin = own then origin end as allow_origin, case when origin = own then 'GET,POST,OPTIONS' end as allow_methods, case when origin = own then 3 else 0 end + case when origin = own then 1 else 0 end as n_headers from o"""
+)
+def preflight_headers(spark, sf_dir):
+    k = F.col("page_id")
+    origin = F.when(k % 3 == 0, net.origin_of(F.col("url"))).when(k % 3 == 1, "https://evil.example")
+    headers = net.reply_headers(net.cors_origin(F.col("url"), origin, F.lit("")))
+    rows = table(spark, sf_dir, "pages").select("page_id", headers.alias("h"))
+    return rows.select("page_id", F.col("h")["access-control-allow-origin"].alias("allow_origin"), F.col("h")["access-control-allow-methods"].alias("allow_methods"), F.size("h").alias("n_headers"))
+
+
 PATHS = ("/api/health", "/api/upload", "/api/jobs", "/api/clean", "/api/jobs/x1", "/api/jobs/x1/download", "/api/jobs/x1/report", "/api/jobs/x1/other", "/api/jobs/", "/")
 
 

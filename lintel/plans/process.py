@@ -66,12 +66,27 @@ def process_files(spark, sf_dir):
     return process.process_files(files).select("job_id", "backend", "status", "error", F.try_variant_get(F.try_parse_json("summary"), "$.removedCount", "bigint").alias("removed"))
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then 'n' || doc_id || '.txt' end as name, case doc_id % 3 when 1 then 'unsupported_media' when 2 then 'missing_file' end as error, case when doc_id % 3 = 0 then octet_length(encode(text)) end as size from documents")
+KINDS = ("text/plain", "message/rfc822", "multipart/related; boundary=inner", "Application/Octet-Stream")
+
+
+@query(
+    """select doc_id, case when doc_id % 3 = 0 then 'n' || doc_id || '.txt' end as name, case when doc_id % 3 = 0 then (['text/plain', 'message/rfc822', 'multipart/related', 'application/octet-stream'])[doc_id % 4 + 1] end as type,
+    case doc_id % 3 when 1 then 'unsupported_media' when 2 then 'missing_file' end as error, case when doc_id % 3 = 0 then sha256(text || chr(13) || chr(10)) end as digest from documents"""
+)
 def multipart_upload(spark, sf_dir):
+    """Bodies whose file is of several types, as it comes, with a line break at its end."""
     k = F.col("doc_id")
     field = F.when(k % 3 == 2, "other").otherwise("file")
-    head = F.concat(F.lit('--b0undary\r\nContent-Disposition: form-data; name="'), field, F.lit('"; filename="n'), k.cast("string"), F.lit('.txt"\r\nContent-Type: text/plain\r\n\r\n'))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 3 == 1, "application/json").otherwise("multipart/form-data; boundary=b0undary").alias("content_type"), F.concat(head, "text", F.lit("\r\n--b0undary--\r\n")).cast("binary").alias("body"))
-    return sources.parse_uploads(rows, "doc_id").select("doc_id", "name", "error", F.octet_length("content").cast("long").alias("size"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (k % 4 + 1).cast("int"))
+    first = F.lit('--b0undary\r\nContent-Disposition: form-data; name="x"\r\n\r\n1\r\n')
+    head = F.concat(first, F.lit('--b0undary\r\nContent-Disposition: form-data; name="'), field, F.lit('"; filename="n'), k.cast("string"), F.lit('.txt"\r\nContent-Type: '), kind, F.lit("\r\n\r\n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 3 == 1, "application/json").otherwise("Multipart/form-data; boundary=b0undary").alias("content_type"), F.concat(head, "text", F.lit("\r\n\r\n--b0undary--\r\n")).cast("binary").alias("body"))
+    return sources.parse_uploads(rows, "doc_id").select("doc_id", "name", "type", "error", F.sha2("content", 256).alias("digest"))
 
 
+@query(
+    f"""with {NAMES} select doc_id, '{{"jobId":"j' || doc_id || '","originalName":' || to_json(name) || ',"contentType":' || coalesce(to_json(content_type), 'null') || ',"sizeBytes":' || size || ',"createdAt":{NOW_MS}}}' as meta from names"""
+)
+def upload_meta(spark, sf_dir):
+    k = F.col("doc_id")
+    return names(spark, sf_dir).select("doc_id", sources.upload_meta(F.concat(F.lit("j"), k.cast("string")), F.col("name"), F.col("content_type"), F.col("size"), F.lit(NOW_MS).cast("long")).alias("meta"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import email.parser
-import email.policy
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..arrow import bounded
+from ..arrow import batches_of, bounded
 from ..functions import files as fx
 
 OBJECT_KINDS = ("original", "cleaned", "report.json", "meta.json")
@@ -64,25 +63,49 @@ def restart_id(body: Column) -> Column:
 _UPLOAD = pa.schema([("name", pa.string()), ("type", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
 
+def _parameters(value: str) -> dict[str, str]:
+    """Parameters of a header, by name in lower case; quoted ones without their quotes."""
+    return {k.lower(): quoted if quoted is not None else plain for k, quoted, plain in ((m[1], m[2], m[3]) for m in re.finditer(r';\s*([^=;\s]+)\s*=\s*(?:"([^"]*)"|([^;\s]*))', value))}
+
+
+def parse_upload(media: str | None, data: bytes | None):
+    """(name, type, content, error) of a multipart body's `file` field. Parts are cut out by their boundary, byte by byte as they came, whatever type they name."""
+    if not (media or "").strip().lower().startswith("multipart/form-data"):
+        return None, None, None, "unsupported_media"
+    mark = _parameters(media).get("boundary", "")
+    body = b"\r\n" + (data or b"")
+    edge = b"\r\n--" + mark.encode()
+    at = body.find(edge) if mark else -1
+    while at >= 0:
+        line = body.find(b"\r\n", at + len(edge))
+        if line < 0 or body[at + len(edge) : at + len(edge) + 2] == b"--":
+            break
+        end = body.find(edge, line)
+        if end < 0:
+            break
+        head, found, content = body[line:end].partition(b"\r\n\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
+        told = _parameters(";" + fields.get("content-disposition", "").partition(";")[2])
+        if found and told.get("name") == "file" and "filename" in told:
+            kind = fields.get("content-type")
+            return told["filename"], kind.partition(";")[0].strip().lower() if kind is not None else None, content, None
+        at = end
+    return None, None, None, "missing_file"
+
+
 def parse_uploads(df: DataFrame, key: str, content_type: str = "content_type", body: str = "body") -> DataFrame:
     """key, name, type, content and error of multipart bodies with one `file` field."""
     bounded(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
-    def parse(media, data):
-        if not (media or "").lower().startswith("multipart/form-data"):
-            return None, None, None, "unsupported_media"
-        whole = email.parser.BytesParser(policy=email.policy.HTTP).parsebytes(b"Content-Type: " + media.encode() + b"\r\n\r\n" + (data or b""))
-        for part in whole.iter_parts() if whole.is_multipart() else ():
-            if part.get_param("name", header="content-disposition") == "file" and part.get_filename() is not None:
-                return part.get_filename(), part.get_content_type() if "content-type" in part else None, part.get_payload(decode=True) or b"", None
-        return None, None, None, "missing_file"
+    def rows(b):
+        for k, media, data in zip(*b.columns):
+            row = parse_upload(media.as_py(), data.as_py())
+            yield dict(zip(["key", *_UPLOAD.names], [k.as_py(), *row])), len(row[2] or b"")
 
     def run(batches):
         for b in batches:
-            for k in range(b.num_rows):
-                row = parse(b.column(1)[k].as_py(), b.column(2)[k].as_py())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), *[pa.array([v], f.type) for v, f in zip(row, _UPLOAD)]], names=["key", *_UPLOAD.names])
+            yield from batches_of(rows(b), pa.schema([("key", b.schema.field(0).type), *_UPLOAD]))
 
     return df.select(F.col(key).alias("key"), content_type, body).mapInArrow(run, f"key {kind}, name string, type string, content binary, error string").withColumnRenamed("key", key)
 

@@ -66,10 +66,13 @@ def claims(log: DataFrame) -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
     """Run over what is there and return what the sink has: a Parquet folder with one batch below another.
 
-    The folder is in spark.checkpoint.dir where that is set, else a temporary one. In complete mode the last batch is the result.
+    The folder is in spark.checkpoint.dir where that is set, else a temporary one if Spark runs in one process. In complete mode the last batch is the result.
     """
     spark = stream.sparkSession
-    base = path or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lintel-stream-")
+    base = path or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: executors need a folder that they share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="lintel-stream-")
     at = f"{base.rstrip('/')}/lintel-stream-{uuid.uuid4().hex}"
 
     def write(df, batch):

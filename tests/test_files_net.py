@@ -17,7 +17,7 @@ def test_extension(spark):
 
 def test_admission(spark):
     rows = [("notes.pdf", "application/pdf", 12, "ok"), ("x.exe", None, 12, "extension_blocked"), ("noext", None, 12, "missing_extension"), ("a.txt", "text/plain", 50, "ok"), ("a.txt", "text/plain", 1001, "file_too_large"),
-            ("a.txt", None, 0, "empty_file"), ("a.zip", None, 1, "extension_not_allowed"), ("a.txt", " Application/X-Executable ;q", 1, "content_type_blocked"), ("a.txt", "", 1000, "ok")]
+            ("a.txt", None, 0, "empty_file"), ("a.zip", None, 1, "extension_not_allowed"), ("a.txt", " Application/X-Executable ;q", 1, "content_type_blocked"), ("a.txt", "", 1000, "ok"), ("a.txt", "application/x-msdownload\t; q=1", 1, "content_type_blocked"), ("a.txt", "\u00a0application/x-executable\n", 1, "content_type_blocked"), ("a.exe\n", None, 1, "extension_not_allowed")]
     df = spark.createDataFrame(rows, "n string, c string, s long, want string")
     assert df.filter(fx.admission(F.col("n"), F.col("c"), F.col("s"), 1000) != F.col("want")).count() == 0
 
@@ -29,7 +29,7 @@ def test_download_names(spark):
 
 def test_ids_and_keys(spark):
     good = "11111111-1111-4111-8111-111111111111"
-    assert column(spark, [good, good.upper(), "../etc/passwd", "not-a-uuid", None, good + "\n"], fx.job_id_valid)[:5] == [True, True, False, False, False]
+    assert column(spark, [good, good.upper(), "../etc/passwd", "not-a-uuid", None, good + "\n"], fx.job_id_valid) == [True, True, False, False, False, False]
     assert column(spark, [good], lambda c: fx.object_key(c, "cleaned")) == [f"uploads/{good}/cleaned"]
 
 
@@ -59,3 +59,34 @@ def test_cors(spark, request_url, origin, allowed, want):
 def test_gate(spark):
     df = spark.createDataFrame([("GET", "/api/health", None, "k"), ("POST", "/api/upload", None, "k"), ("POST", "/api/upload", "Bearer k", "k"), ("GET", "/api/x", "Bearer k", "k")], "m string, p string, h string, k string")
     assert [r[0] for r in df.select(net.gate(*map(F.col, "mphk"))).collect()] == ["health", "unauthorized", "upload", "not_found"]
+
+
+def test_addresses_in_other_notations(spark):
+    local = ["2130706433", "0x7f000001", "0177.0.0.1", "127.1", "0x7f.0.1", "localhost", "[0:0::1]", "[::ffff:7f00:1]", "me:pw@127.0.0.1", "127.0.0.1."]
+    bad = ["256.1", "1.2.3.4.5", "4294967296", "08", "1.256.1.1"]
+    fine = ["files.example", "0x7f.example", "128.1", "[2001:db8::1]"]
+    df = spark.createDataFrame([(i, f"\thttp://{h}:80/\n") for i, h in enumerate(local + bad + fine)], "i int, u string")
+    got = [r[0] for r in df.orderBy("i").select(net.resolve_url(F.lit("production"), F.col("u"))["reason"]).collect()]
+    assert got == ["loopback_unreachable_in_production"] * len(local) + ["invalid_cleaner_url"] * len(bad) + [None] * len(fine)
+
+
+def test_tokens(spark):
+    rows = [("Bearer k", "k", True), ("Bearer k\n", "k", False), ("bearer \t k", "\tk\u00a0", True), (None, "k", False), (None, " \t", True), ("Bearer ", "k", False)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, h string, k string, want boolean")
+    assert df.filter(net.bearer_ok(F.col("h"), F.col("k")) != F.col("want")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["text/plain", "message/rfc822", "multipart/related; boundary=zz", "multipart/form-data; boundary=B", None])
+def test_uploads_come_back_byte_by_byte(kind):
+    import random
+
+    from lintel.sources import parse_upload
+
+    rng = random.Random(1)
+    for n in (0, 1, 2, 50, 5000):
+        content = bytes(rng.choice(b"\r\n-B ab\x00\xff:") for _ in range(n)).replace(b"--B0", b"")
+        head = b'--B0\r\ncontent-disposition: form-data; NAME="file"; filename="a b;c.txt"\r\n' + (f"Content-Type: {kind}\r\n".encode() if kind else b"") + b"\r\n"
+        got = parse_upload('multipart/form-data; charset=x; boundary="B0"', b"preamble\r\n" + head + content + b"\r\n--B0--\r\n")
+        assert got == ("a b;c.txt", kind and kind.partition(";")[0], content, None)
+    assert parse_upload("multipart/form-data", b"x")[3] == parse_upload("multipart/form-data; boundary=B", None)[3] == parse_upload("multipart/form-data; boundary=B", b"--B\r\nx")[3] == "missing_file"
+    assert parse_upload(None, b"")[3] == "unsupported_media"
