@@ -21,8 +21,8 @@ from .common import map_rows, split_words, spread, table, tune
 MIN_WORDS = 8
 #: The share of words in repeated passages up to which a text stays, in hundredths.
 MAX_COVERED = 50
-#: The longest repeated passage up to which a text stays, in words, for texts of which it is over a fifth as well.
-MAX_LONGEST = 50
+#: The longest repeated passage up to which a text stays, in words, for texts of which it is over a fifth as well; and that up to which any text stays.
+MAX_LONGEST, MOST_LONGEST = 50, 200
 
 SYMBOLS = "#*$%&|<>"
 
@@ -73,7 +73,7 @@ def _first_rank(key: np.ndarray) -> np.ndarray:
     k = key[order]
     at = np.arange(len(k))
     start = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), at, 0))
-    rank = np.empty(len(k), np.int64)
+    rank = np.empty(len(k), np.int32 if len(k) < 1 << 31 else np.int64)  # levels are copies of it
     rank[order] = start
     return rank
 
@@ -115,7 +115,7 @@ def _covered(height: np.ndarray, least: int, off: np.ndarray) -> np.ndarray:
     return inside[off[1:]] - inside[off[:-1]]
 
 
-def _rules(min_words: int, max_covered: int, max_longest: int):
+def _rules(min_words: int, max_covered: int, max_longest: int, most_longest: int):
     def run(c):
         texts = pc.fill_null(c["text"], "")
         off, codes, words = split_words(texts)
@@ -130,7 +130,7 @@ def _rules(min_words: int, max_covered: int, max_longest: int):
         spans = _covered(height, min_words, off)
         lines = [_dup_lines(t) for t in texts.to_pylist()]
         failed = (n < 50) | (100 * three > 50 * n)
-        bad = (100 * spans > max_covered * n) | ((longest > max_longest) & (5 * longest > n))
+        bad = (100 * spans > max_covered * n) | ((longest > max_longest) & (5 * longest > n)) | (longest > most_longest)
         return {
             "n_words": n, "word_chars": total[off[1:]] - total[off[:-1]], "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": three,
             "n_covered": spans, "longest_repeat": longest, "base_failed": failed, "kept": ~failed & ~bad,
@@ -150,15 +150,15 @@ def _dup_lines(text: str) -> int:
 COLUMNS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("n_covered", T.LongType()), ("longest_repeat", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]
 
 
-def repetition_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST, keep: bool | list[str] = True) -> DataFrame:
+def repetition_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST, most_longest: int = MOST_LONGEST, keep: bool | list[str] = True) -> DataFrame:
     """docs (a text column, others pass through) with counts and verdicts of each whole text.
 
     `n_covered` is the number of words in repeated passages of at least `min_words` words (all their occurrences), `longest_repeat` the longest of any length.
     A text fails the base rules with under 50 words, or over half of them in three-word windows found twice; the others are kept unless over
-    `max_covered` hundredths of their words are covered, or the longest repeat is over `max_longest` words and a fifth of the text. A null or
+    `max_covered` hundredths of their words are covered, or the longest repeat is over `max_longest` words and a fifth of the text, or over `most_longest` words. A null or
     empty text has zeros and fails. Rows stay as they are, repeated ones too; columns of the added names are replaced.
     """
-    return map_rows(docs, ["text"], _rules(min_words, max_covered, max_longest), COLUMNS, keep)
+    return map_rows(docs, ["text"], _rules(min_words, max_covered, max_longest, most_longest), COLUMNS, keep)
 
 
 def op5_suffix_repetition(spark, sf_dir):

@@ -34,6 +34,22 @@ def test_heights(seed):
         assert [docs[d][s:] for s in mine] == sorted(docs[d][s:] for s in mine)
 
 
+def twice(w, k):
+    """Places in windows of k words that are found twice."""
+    seen = {}
+    for i in range(len(w) - k + 1):
+        seen.setdefault(hash(tuple(w[i : i + k])), []).append(i)
+    return {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + k)}
+
+
+def longest_twice(w):
+    low, high = 0, len(w)
+    while low < high:  # a passage that is there twice has parts of every length that are
+        k = (low + high + 1) // 2
+        low, high = (k, high) if twice(w, k) else (low, k - 1)
+    return low
+
+
 def brute(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -44,19 +60,17 @@ def brute(text):
         if re.search(r"[^\x20\x09-\x0D]", x):
             dup += x in seen
             seen.add(x)
-    h = heights(w) if len(w) < 400 else None
-    covered = None if h is None else len({j for i, n in enumerate(h) if n >= rp.MIN_WORDS for j in range(i, i + n)})
-    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dup, "n_repeat_words": len(inside), "base_failed": len(w) < 50 or 100 * len(inside) > 50 * len(w)}, covered, None if h is None else max(h, default=0)
+    covered = len(twice(w, rp.MIN_WORDS))
+    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dup, "n_repeat_words": len(inside), "base_failed": len(w) < 50 or 100 * len(inside) > 50 * len(w)}, covered, longest_twice(w)
 
 
 def same(rows):
     for text, r in rows:
         base, covered, longest = brute(text)
         assert {k: r[k] for k in base} == base
-        if covered is not None:
-            assert (r["n_covered"], r["longest_repeat"]) == (covered, longest)
+        assert (r["n_covered"], r["longest_repeat"]) == (covered, longest)
         n = r["n_words"]
-        assert r["kept"] == (not r["base_failed"] and 100 * r["n_covered"] <= rp.MAX_COVERED * n and not (r["longest_repeat"] > rp.MAX_LONGEST and 5 * r["longest_repeat"] > n))
+        assert r["kept"] == (not r["base_failed"] and 100 * r["n_covered"] <= rp.MAX_COVERED * n and not (r["longest_repeat"] > rp.MAX_LONGEST and 5 * r["longest_repeat"] > n) and r["longest_repeat"] <= rp.MOST_LONGEST)
 
 
 def test_odd_rows(spark, odd, none):
