@@ -27,23 +27,22 @@ def part_rows(spark, sf_dir):
     return docs.withColumns({"dos_time": F.lit(0x6000), "dos_date": F.lit(0x5929), "ext_attr": F.lit(0).cast("long"), "stored": F.col("part") == "word/c2pa.bin"})
 
 
-def made(spark, sf_dir, text=None):
-    """doc_id and package, without a shuffle: each document's parts are in its own row. text: the body's, the whole text unless given."""
-    body = _body(F.col("text") if text is None else text)
+def made(spark, sf_dir):
+    """doc_id and package, without a shuffle: each document's parts are in its own row."""
+    body = _body(F.col("text"))
     entry = lambda p, d, stored=False: F.struct(F.lit(p).alias("part"), d.cast("binary").alias("data"), F.lit(0x6000).alias("dos_time"), F.lit(0x5929).alias("dos_date"), F.lit(0).cast("long").alias("ext_attr"), F.lit(stored).alias("stored"))
     entries = F.array(entry("[Content_Types].xml", F.lit(TYPES_XML)), entry("_rels/.rels", F.lit(RELS_XML)), entry("word/document.xml", body), entry("docProps/core.xml", F.lit(CORE_XML)), entry("word/c2pa.bin", F.lit("manifest"), True), entry("word/empty.xml", F.lit("")), entry("word/media/x.png", F.col("text")))
     return packages.implode_entries(table(spark, sf_dir, "documents").select("doc_id", entries.alias("entries")), "doc_id")
 
 
-#: Sizes in the SQL are those of a body of 200 characters, so package_explode and package_sizes make such packages.
-_BODY = "'<w:t>' || substring(text, 1, 200) || case when doc_id % 2 = 0 then chr(8203) else '' end || case when doc_id % 3 = 0 then chr(8238) || chr(8238) else '' end || '</w:t>'"
+_BODY = "'<w:t>' || text || case when doc_id % 2 = 0 then chr(8203) else '' end || case when doc_id % 3 = 0 then chr(8238) || chr(8238) else '' end || '</w:t>'"
 _SIZES = f"[{len(TYPES_XML)}, {len(RELS_XML)}, octet_length(encode({_BODY})), {len(CORE_XML)}, 8, 0, octet_length(encode(text))]"
 _PARTS = "['[Content_Types].xml', '_rels/.rels', 'word/document.xml', 'docProps/core.xml', 'word/c2pa.bin', 'word/empty.xml', 'word/media/x.png']"
 
 
 @query(f"select doc_id, cast(i as integer) as ordinal, {_PARTS}[i + 1] as part, cast({_SIZES}[i + 1] as integer) as size from documents, (select unnest(range(7)) as i)")
 def package_explode(spark, sf_dir):
-    return packages.explode_packages(made(spark, sf_dir, F.substring("text", 1, 200)), "doc_id").select("doc_id", "ordinal", "part", F.octet_length("data").alias("size"))
+    return packages.list_packages(made(spark, sf_dir), "doc_id").select("doc_id", "ordinal", "part", "size")
 
 
 @query("select doc_id, true as same from documents")
@@ -69,5 +68,5 @@ def package_clean(spark, sf_dir):
 
 @query(f"select doc_id, 7 as entries, cast(list_sum({_SIZES}) as bigint) as bytes from documents")
 def package_sizes(spark, sf_dir):
-    parts = packages.explode_packages(made(spark, sf_dir, F.substring("text", 1, 200)), "doc_id")
-    return parts.groupBy("doc_id").agg(F.count("*").cast("int").alias("entries"), F.sum(F.octet_length("data").cast("long")).alias("bytes"))
+    parts = packages.list_packages(made(spark, sf_dir), "doc_id")
+    return parts.groupBy("doc_id").agg(F.count("*").cast("int").alias("entries"), F.sum(F.col("size").cast("long")).alias("bytes"))
