@@ -22,6 +22,15 @@ SPLITS = ((r"([A-Z]+)([A-Z][a-z])", r"\1 \2"), (r"([a-z0-9])([A-Z])", r"\1 \2"))
 
 BODY_PART = "word/document.xml"
 
+#: How a package's report words what it took away, and the prefix of what stops it.
+DROPPED_PARTS, DROPPED_PROPERTIES = "removed provenance parts: {}", "stripped from {}: {}"
+REFUSED = "not_docx"
+
+#: An element that refers to a part, for the parts that hold such elements; {} is the address.
+REFERENCES = {"[content_types].xml": r'(?i)<Override\b[^>]*PartName="(?:{})"[^>]*/>', ".rels": r'(?i)<Relationship\b[^>]*Target="[^"]*(?:{})"[^>]*/>'}
+#: The parts that hold properties, and the elements that go from each; of custom ones, whole blocks by their names.
+PROPERTY_PARTS = {"docProps/core.xml": CORE_DROP, "docProps/app.xml": APP_DROP, "docProps/custom.xml": None}
+
 
 def is_xml_part(name: Column) -> Column:
     return F.lower(name).endswith(".xml") | F.lower(name).endswith(".rels")
@@ -36,7 +45,7 @@ def zip_magic(data: Column) -> Column:
 
 
 def element(tag: str) -> str:
-    """An element of this name, empty or with its end tag. An empty one with attributes reaches to a later end tag, where there is one."""
+    """Fixed pattern: an element of this name, empty or with its end tag. An empty one with attributes reaches to a later end tag, where there is one."""
     t = re.escape(tag).replace(r"\:", ":")
     return rf"<{t}(?:\s[^>]*)?(?:/>|>[\s\S]*?</{t}>)"
 

@@ -21,41 +21,45 @@ RESULT = ("job_id", "backend", "status", "error", "cleaned", "content_type", "re
 def process_files(files: DataFrame, transport=None) -> DataFrame:
     """Result rows of files (job_id, name, content_type, content): RESULT's columns, a row per file.
 
-    Text and packages are cleaned here, each in a narrow stage. Others go to `transport`, a function of (bytes, name) that gives (status, body) or
-    raises; without one they end as cleaner_unconfigured. A file without content ends as missing. Nothing is shuffled.
+    Text is cleaned in the JVM, packages in a worker. Others go to `transport`, a function of (bytes, name) that gives (status, body) or
+    raises; without one they end as cleaner_unconfigured. A file without content ends as missing. One scan and one narrow stage serve all
+    routes: a route's columns are null in rows of other routes, so only the bytes of packages and of remote files go to workers.
     """
-    routed = files.withColumn("backend", fx.backend(fx.extension_of(F.col("name")), transport is not None))
-    here = F.col("content").isNotNull()
-    missing = routed.filter(~here).withColumns({"error": F.lit("original object missing"), "cleaned": F.lit(None).cast("binary"), "report": F.lit(None).cast("string"), "out_type": F.lit(None).cast("string"), "kind": F.lit(None).cast("string")})
-    text = scrub.clean_bytes(routed.filter(here & (F.col("backend") == "worker-layer-a")).withColumnRenamed("content_type", "in_type"), "content")
-    codes = tx.mark_codes(tx.decode_utf8(F.col("content")))
-    text_report = F.to_json(F.struct(F.lit("text").alias("kind"), F.lit("A").alias("layer"), F.lit("worker-layer-a").alias("backend"), F.col("removed_count").alias("removedCount"), tx.histogram(codes).alias("removed"), F.lit(tx.NOTE).alias("note")))
-    text = text.withColumns({"report": F.when(F.col("error").isNull(), text_report), "out_type": F.col("content_type"), "kind": F.lit("text")})
-    docx = packages.clean_packages(routed.filter(here & (F.col("backend") == "worker-ooxml")), "job_id", "content")
-    docx_report = F.to_json(F.struct(F.lit("docx").alias("kind"), F.lit("A").alias("layer"), F.lit("worker-ooxml").alias("backend"), F.col("removed_count").alias("removedCount"), "removed", "parts_cleaned", "actions", "still_has_c2pa", F.lit(tx.NOTE).alias("note")))
-    docx = docx.withColumns({"report": F.when(F.col("error").isNull(), docx_report), "out_type": F.lit(fx.PACKAGE_TYPE), "kind": F.lit("docx"), "backend": F.lit("worker-ooxml")})
-    others = routed.filter(here & ~F.col("backend").isin("worker-layer-a", "worker-ooxml"))
+    bounded(files.sparkSession)
+    backend = fx.backend(fx.extension_of(F.col("name")), transport is not None)
+    route = F.when(F.col("content").isNull(), "missing").otherwise(backend)
+    on = lambda name, value: F.when(F.col("route") == name, value)
+    rows = files.select("job_id", "name", F.col("content_type").alias("in_type"), "content", backend.alias("backend"), route.alias("route"))
+    rows = rows.withColumns({"docx": packages.clean_package(on("worker-ooxml", F.col("content"))), "text": on("worker-layer-a", tx.decode_utf8(F.col("content")))})
     if transport is None:
-        rest = others.withColumns({"error": F.lit("cleaner_unconfigured"), "cleaned": F.lit(None).cast("binary"), "report": F.lit(None).cast("string"), "out_type": F.lit(None).cast("string"), "kind": F.lit(None).cast("string")})
+        rows = rows.withColumn("remote", F.lit(None).cast("struct<cleaned:binary,kind:string,report:string,error:string>"))
     else:
-        rest = call_remote(others, transport).withColumns({"report": F.when(F.col("error").isNull(), F.col("report")), "backend": F.lit("remote-cleaner")}).withColumnRenamed("content_type", "out_type")
-    columns = ["job_id", "backend", "error", "cleaned", "out_type", "report", "kind"]
-    every = text.select(*columns)
-    for part in (docx, rest, missing):
-        every = every.unionByName(part.select(*columns))
-    summary = F.when(F.col("error").isNull(), reports.summary_json(F.col("kind"), F.coalesce("report", F.lit("{}"))))
-    return every.select("job_id", "backend", F.when(F.col("error").isNull(), "done").otherwise("error").alias("status"), tx.sanitize_error(F.col("error")).alias("error"), "cleaned", F.col("out_type").alias("content_type"), "report", summary.alias("summary"))
-
-
-_REMOTE = pa.schema([("cleaned", pa.binary()), ("kind", pa.string()), ("report", pa.string()), ("content_type", pa.string()), ("error", pa.string()), ("attempts", pa.int32())])
+        rows = rows.withColumn("remote", _remote_column(transport)(on("remote-cleaner", F.col("content")), F.col("name")))
+    rows = rows.drop("content").withColumn("dirty", F.col("text").rlike(tx.STRIP_CLASS))
+    rows = rows.withColumn("codes", F.when(F.col("dirty"), tx.mark_codes(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    head = lambda kind, backend: (F.lit(kind).alias("kind"), F.lit("A").alias("layer"), F.lit(backend).alias("backend"))
+    note, d = F.lit(tx.NOTE).alias("note"), F.col("docx")
+    text_report = F.to_json(F.struct(*head("text", "worker-layer-a"), F.size("codes").alias("removedCount"), tx.histogram(F.col("codes")).alias("removed"), note))
+    docx_report = F.to_json(F.struct(*head("docx", "worker-ooxml"), d["removed_count"].alias("removedCount"), *[d[c].alias(c) for c in ("removed", "parts_cleaned", "actions", "still_has_c2pa")], note))
+    error = (
+        F.when(F.col("route") == "missing", "original object missing").when(F.col("route") == "cleaner_unconfigured", "cleaner_unconfigured")
+        .when((F.col("route") == "worker-layer-a") & F.col("text").isNull(), scrub.NOT_UTF8).otherwise(F.coalesce(d["error"], F.col("remote.error")))
+    )
+    rows = rows.withColumn("error", error)
+    ok = F.col("error").isNull()
+    cleaned = F.coalesce(F.when(F.col("dirty"), tx.strip_marks(F.col("text"))).otherwise(F.col("text")).cast("binary"), d["cleaned"], F.col("remote.cleaned"))
+    media = on("worker-layer-a", F.lit(scrub.TEXT_TYPE)).when(F.col("route") == "worker-ooxml", fx.PACKAGE_TYPE).when(F.col("route") == "remote-cleaner", F.col("in_type"))
+    report = F.when(ok, on("worker-layer-a", text_report).when(F.col("route") == "worker-ooxml", docx_report).otherwise(F.col("remote.report")))
+    kind = on("worker-layer-a", F.lit("text")).when(F.col("route") == "worker-ooxml", "docx").otherwise(F.col("remote.kind"))
+    rows = rows.select("job_id", "backend", "error", cleaned.alias("cleaned"), media.alias("content_type"), report.alias("report"), kind.alias("kind"))
+    summary = F.when(ok, reports.summary_json(F.col("kind"), F.coalesce("report", F.lit("{}"))))
+    return rows.select("job_id", "backend", F.when(ok, "done").otherwise("error").alias("status"), tx.sanitize_error(F.col("error")).alias("error"), "cleaned", "content_type", "report", summary.alias("summary"))
 
 
-def call_remote(files: DataFrame, transport, attempts: int = fx.MAX_ATTEMPTS, first_ms: int = fx.BACKOFF_MS) -> DataFrame:
-    """job_id, cleaned, kind, report, content_type, error and attempts of files sent to a remote service, up to `attempts` times each."""
-    bounded(files.sparkSession)
-    kind = files.schema["job_id"].dataType.simpleString()
+def _ask(transport, data: bytes, name: str, attempts: int, first_ms: int) -> tuple[dict, int]:
+    """cleaned, kind, report and error of one file, asked for up to `attempts` times, and how often it was."""
 
-    def once(data, name):
+    def once():
         try:
             status, body = transport(data, name)
         except Exception as e:  # whatever kept the reply from coming
@@ -72,16 +76,39 @@ def call_remote(files: DataFrame, transport, attempts: int = fx.MAX_ATTEMPTS, fi
             return 502, "cleaner_missing_cleaned", None
         return status, None, reply
 
+    for n in range(1, attempts + 1):
+        status, error, reply = once()
+        low = (error or "").lower()
+        if error is None or n == attempts or not (status >= 500 or status == 0 or "unreachable" in low or "timeout" in low):
+            break
+        time.sleep(first_ms * 2 ** (n - 1) / 1000)
+    if error:
+        return {"cleaned": None, "kind": None, "report": None, "error": error}, n
+    return {"cleaned": base64.b64decode(reply["cleaned"]), "kind": reply["kind"] if isinstance(reply.get("kind"), str) else "unknown", "report": json.dumps(reply.get("report")), "error": None}, n
+
+
+def _remote_column(transport, attempts: int = fx.MAX_ATTEMPTS, first_ms: int = fx.BACKOFF_MS):
+    """A column of the service's answers; null bytes are not sent."""
+    kind = pa.struct([("cleaned", pa.binary()), ("kind", pa.string()), ("report", pa.string()), ("error", pa.string())])
+
+    def run(contents: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else _ask(transport, c, n, attempts, first_ms)[0] for c, n in zip(contents.to_pylist(), names.to_pylist())], kind)
+
+    return F.arrow_udf(run, "cleaned binary, kind string, report string, error string").asNondeterministic()
+
+
+_REMOTE = pa.schema([("cleaned", pa.binary()), ("kind", pa.string()), ("report", pa.string()), ("content_type", pa.string()), ("error", pa.string()), ("attempts", pa.int32())])
+
+
+def call_remote(files: DataFrame, transport, attempts: int = fx.MAX_ATTEMPTS, first_ms: int = fx.BACKOFF_MS) -> DataFrame:
+    """job_id, cleaned, kind, report, content_type, error and attempts of files sent to a remote service, up to `attempts` times each."""
+    bounded(files.sparkSession)
+    kind = files.schema["job_id"].dataType.simpleString()
+
     def rows(b):
         for key, data, name, media in zip(*b.columns):
-            for n in range(1, attempts + 1):
-                status, error, reply = once(data.as_py(), name.as_py())
-                low = (error or "").lower()
-                if error is None or n == attempts or not (status >= 500 or status == 0 or "unreachable" in low or "timeout" in low):
-                    break
-                time.sleep(first_ms * 2 ** (n - 1) / 1000)
-            row = [None] * 3 if error else [base64.b64decode(reply["cleaned"]), reply["kind"] if isinstance(reply.get("kind"), str) else "unknown", json.dumps(reply.get("report"))]
-            yield dict(zip(["job_id", *_REMOTE.names], [key.as_py(), *row, media.as_py(), error, n])), len(row[0] or b"") + len(row[2] or "")
+            row, n = _ask(transport, data.as_py(), name.as_py(), attempts, first_ms)
+            yield {"job_id": key.as_py(), **row, "content_type": media.as_py(), "attempts": n}, len(row["cleaned"] or b"") + len(row["report"] or "")
 
     def run(batches):
         for b in batches:

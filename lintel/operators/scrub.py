@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+#: The error of bytes that aren't text, and the type of cleaned text.
+NOT_UTF8, TEXT_TYPE = "invalid_utf8: Layer A expects UTF-8 text", "text/plain; charset=utf-8"
+
 
 def clean_text(df: DataFrame, text: str = "text") -> DataFrame:
     """df with cleaned, removed_count and residual, the latter counted again on what is left.
@@ -31,16 +34,23 @@ def mark_histogram(df: DataFrame, by: list[str], text: str = "text") -> DataFram
 
 
 def text_reports(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the report columns of a cleaned text."""
-    return clean_text(df, text).withColumns({"kind": F.lit("text"), "layer": F.lit("A"), "backend": F.lit("worker-layer-a"), "removed": tx.histogram(tx.mark_codes(F.col(text))), "note": F.lit(tx.NOTE)})
+    """df with the report columns of a cleaned text. Only texts with marks are gone through for their histogram."""
+    out = clean_text(df, text)
+    codes = F.when(F.col("removed_count") > 0, tx.mark_codes(F.col(text))).when(F.col(text).isNotNull(), F.array().cast("array<string>"))
+    return out.withColumns({"kind": F.lit("text"), "layer": F.lit("A"), "backend": F.lit("worker-layer-a"), "removed": tx.histogram(codes), "note": F.lit(tx.NOTE)})
 
 
 def clean_bytes(df: DataFrame, data: str = "content") -> DataFrame:
-    """The text job on bytes: error where they aren't UTF-8, else cleaned bytes and counts. A leading byte order mark goes uncounted."""
-    decoded = df.withColumn("__text", tx.decode_utf8(F.col(data)))
-    error = F.when(F.col("__text").isNull(), F.lit("invalid_utf8: Layer A expects UTF-8 text"))
-    out = decoded.withColumns({"cleaned": tx.strip_marks(F.col("__text")).cast("binary"), "removed_count": tx.count_marks(F.col("__text")), "error": error, "content_type": F.lit("text/plain; charset=utf-8")})
-    return out.drop("__text")
+    """The text job on bytes: error where they aren't UTF-8, else cleaned bytes and counts. A leading byte order mark goes uncounted.
+
+    A text without marks is scanned once, as in clean_text.
+    """
+    decoded = df.withColumn("__text", tx.decode_utf8(F.col(data))).withColumn("__dirty", F.col("__text").rlike(tx.STRIP_CLASS))
+    error = F.when(F.col("__text").isNull(), F.lit(NOT_UTF8))
+    rest = F.when(F.col("__dirty"), tx.strip_marks(F.col("__text"))).otherwise(F.col("__text"))
+    out = decoded.withColumn("__rest", rest)
+    out = out.withColumns({"cleaned": F.col("__rest").cast("binary"), "removed_count": F.length("__text") - F.length("__rest"), "error": error, "content_type": F.lit(TEXT_TYPE)})
+    return out.drop("__text", "__dirty", "__rest")
 
 
 def merge_histograms(df: DataFrame, key: str, codes: list[str]) -> DataFrame:

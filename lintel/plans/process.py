@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import files as fx
-from ..operators import jobs, process
+from ..operators import jobs, packages, process
 from .admission import NAMES, ext_sql, names
 from .net import values
 from .registry import INJ, injected, query, table
-from .scrub import COUNT
+from .scrub import CLASS, COUNT
 
 NOW_MS = 1_704_067_200_000
 
@@ -55,15 +55,22 @@ def client_precheck(spark, sf_dir):
 
 
 @query(
-    f"""with {INJ}, f as (select doc_id, t, doc_id % 4 as k from inj) select doc_id as job_id, case k when 0 then 'worker-layer-a' when 1 then 'worker-ooxml' when 2 then 'cleaner_unconfigured' else 'worker-layer-a' end as backend,
-    case k when 0 then 'done' else 'error' end as status, case k when 1 then 'not_docx: a .docx must be an OOXML package (legacy .doc is not supported)' when 2 then 'cleaner_unconfigured' when 3 then 'original object missing' end as error,
-    case k when 0 then cast({COUNT} as bigint) end as removed from f"""
+    f"""with {INJ}, f as (select doc_id, t, doc_id % 5 as k from inj) select doc_id as job_id, case k when 0 then 'worker-layer-a' when 1 then 'worker-ooxml' when 2 then 'cleaner_unconfigured' when 3 then 'worker-layer-a' else 'worker-ooxml' end as backend,
+    case when k in (0, 4) then 'done' else 'error' end as status, case k when 1 then 'not_docx: the bytes are no package of parts (the older .doc format can''t be cleaned)' when 2 then 'cleaner_unconfigured' when 3 then 'original object missing' end as error,
+    case when k in (0, 4) then cast({COUNT} as bigint) end as removed, case k when 0 then octet_length(encode(regexp_replace(t, {CLASS}, '', 'g'))) end as text_bytes from f"""
 )
 def process_files(spark, sf_dir):
-    """Files of every route: text, a broken package, one for a remote service that isn't there, and one without content."""
-    k = F.col("doc_id") % 4
-    files = injected(spark, sf_dir).select(F.col("doc_id").alias("job_id"), F.concat(F.lit("f"), F.when(k == 1, ".docx").when(k == 2, ".pdf").otherwise(".txt")).alias("name"), F.lit(None).cast("string").alias("content_type"), F.when(k != 3, F.col("t").cast("binary")).alias("content"))
-    return process.process_files(files).select("job_id", "backend", "status", "error", F.try_variant_get(F.try_parse_json("summary"), "$.removedCount", "bigint").alias("removed"))
+    """Files of every route: text, a broken package, one for a remote service that isn't there, one without content, and a whole package."""
+    k = F.col("doc_id") % 5
+    entry = lambda part, data: F.struct(F.lit(part).alias("part"), data.cast("binary").alias("data"), F.lit(0).alias("dos_time"), F.lit(0).alias("dos_date"), F.lit(0).cast("long").alias("ext_attr"), F.lit(False).alias("stored"))
+    body = F.when(k == 4, F.array(entry("word/document.xml", F.concat(F.lit("<w:t>"), F.col("t"), F.lit("</w:t>")))))
+    made = injected(spark, sf_dir).select("doc_id", F.when(k != 3, F.col("t").cast("binary")).alias("plain"), packages.package_of(body).alias("package"))
+    k = F.col("doc_id") % 5
+    end = F.when(k.isin(1, 4), ".docx").when(k == 2, ".pdf").otherwise(".txt")
+    files = made.select(F.col("doc_id").alias("job_id"), F.concat(F.lit("f"), end).alias("name"), F.lit(None).cast("string").alias("content_type"), F.coalesce("package", "plain").alias("content"))
+    done = process.process_files(files)
+    size = F.when(F.col("content_type") == "text/plain; charset=utf-8", F.octet_length("cleaned").cast("long"))
+    return done.select("job_id", "backend", "status", "error", F.try_variant_get(F.try_parse_json("summary"), "$.removedCount", "bigint").alias("removed"), size.alias("text_bytes"))
 
 
 KINDS = ("text/plain", "message/rfc822", "multipart/related; boundary=inner", "Application/Octet-Stream")

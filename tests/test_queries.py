@@ -36,3 +36,16 @@ def test_text_queries_do_not_shuffle(spark, sf):
     for name in ("text_strip", "text_inspect", "text_clean_report", "removed_merge", "admission_gate"):
         plan = plans.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == (name == "admission_gate")
+
+
+def test_the_whole_job_is_one_scan(spark, tmp_path):
+    from lintel.operators import process
+
+    rows = [(1, "a.txt", "x​".encode()), (2, "b.docx", b"no"), (3, "c.pdf", b"p"), (4, "d.txt", None)]
+    spark.createDataFrame([(i, n, None if c is None else bytearray(c)) for i, n, c in rows], "job_id long, name string, content binary").write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files").selectExpr("*", "cast(null as string) as content_type")
+    asked = process.process_files(files, lambda data, name: (200, '{"cleaned": "Qg==", "kind": "pdf", "report": {"removedCount": 1}}'))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    got = {r["job_id"]: (r["status"], r["cleaned"] and bytes(r["cleaned"]), r["error"]) for r in asked.collect()}
+    assert got[1] == ("done", b"x", None) and got[2][0] == "error" and got[2][2].startswith("not_docx: ") and got[3] == ("done", b"B", None) and got[4] == ("error", None, "original object missing")
