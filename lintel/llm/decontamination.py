@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are words in lower case without punctuation around them. Documents meet benchmark items at shared seeds, windows of LEAST tokens with equal rolling
-(Karp-Rabin) hashes; of each document and item that could reach the threshold, the longest match that overlaps no earlier one is marked, again and
-again, down to LEAST tokens. What share of the item's tokens is marked doesn't depend on the order in which its parts stand.
+Tokens are words in lower case without punctuation around them. Documents meet benchmark items at shared seeds, windows of LEAST tokens with equal
+Karp-Rabin hashes; for each document and item that could reach the threshold, running Karp-Rabin at falling lengths finds matches, and the longest that overlaps
+no earlier one is marked, again and again, down to LEAST tokens. What share of the item's tokens is marked doesn't depend on the order in which its parts stand.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ BLOCK_BYTES = 2 << 20
 
 _MARKS = ".,;:!?*%&$#|\"'`()[]{}<>«»„“”‘’…-–—_/\\~^+=@"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Places of seeds in items that are looked at together.
+SEED_ROWS = 1 << 20
 
 
 def _norm(words: pa.Array) -> pa.Array:
@@ -45,12 +48,29 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return off, codes, distinct
 
 
-def _hashes(value: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Rolling hashes of the windows of `size` tokens from each place."""
-    h = value[at]
-    for k in range(1, size):
-        h = h * _BASE + value[at + k]
-    return h
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes of all prefixes, and the powers of the base: a window's hash rolls on from those at its ends, whatever its size."""
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(value), _BASE)]))
+    return _scan(value, power), power
+
+
+def _scan(value: np.ndarray, power: np.ndarray) -> np.ndarray:
+    # the sum of value[i] * inverse**(i + 1), times power[n], is the prefix's polynomial: all arithmetic is modulo 2**64, where an odd base has an inverse
+    inverse = np.cumprod(np.full(len(value), _INVERSE))
+    return np.concatenate([[np.uint64(0)], np.cumsum(value * inverse)]) * power
+
+
+def _hashes(prefix: np.ndarray, power: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Karp-Rabin hashes of the windows of `size` tokens from each place."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    return prefix[at + size] - prefix[at] * power[size]
+
+
+def _stretched(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ... up to n[0] numbers, then those from lo[1] on."""
+    before = np.cumsum(n) - n
+    return np.repeat(lo - before, n) + np.arange(int(n.sum()))
 
 
 class Benchmark:
@@ -65,14 +85,18 @@ class Benchmark:
         item = np.repeat(np.arange(len(texts)), np.diff(self.off))
         at = np.arange(len(codes))
         at = at[at + least <= self.off[1:][item]]
-        h = _hashes(self.value[self.codes], at, least)
-        order = np.argsort(h, kind="stable")
+        h = _hashes(*_prefixes(self.value[self.codes]), at, least)
+        order = np.lexsort((at, item[at], h))
         self.seed, self.seed_at, self.seed_item = h[order], at[order], item[at][order]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.seed >> np.uint64(42)).astype(np.int64)] = True
 
     def matches(self, texts: pa.Array, threshold: float):
-        """(row, item, marked tokens, tiles) of each document and item at or over the threshold."""
+        """(row, item, marked tokens, tiles, tokens of the item) of each document and item at or over the threshold.
+
+        A seed joins with items once a document, however often the document holds it; only pairs whose shared seeds cover enough of the item
+        for the threshold go on to their places and to tiling.
+        """
         off, codes, words = _tokens(texts)
         if not len(codes) or not len(self.seed):
             return
@@ -84,65 +108,158 @@ class Benchmark:
             return
         ok = np.lib.stride_tricks.sliding_window_view(ids > 0, k).all(axis=1) & (row[: len(ids) - k + 1] == row[k - 1 :])
         at = np.flatnonzero(ok)
-        h = _hashes(self.value[ids], at, k)
-        at = at[few := self.bits[(h >> np.uint64(42)).astype(np.int64)]]
-        h = h[few]
+        if not len(at):
+            return
+        h = _hashes(*_prefixes(self.value[ids]), at, k)
+        few = self.bits[(h >> np.uint64(42)).astype(np.int64)]
+        at, h = at[few], h[few]
         lo, hi = np.searchsorted(self.seed, h, "left"), np.searchsorted(self.seed, h, "right")
-        n = hi - lo
+        at, lo, n = at[lo < hi], lo[lo < hi], (hi - lo)[lo < hi]
+        bounds = np.searchsorted(row[at], np.arange(len(off)))
+        for r, item in self._reachable(row[at], lo, n, threshold):
+            own = slice(bounds[r], bounds[r + 1])
+            places = self._places(at[own], lo[own], n[own], item)
+            a, z = self.off[item], self.off[item + 1]
+            marked, tiles = tile(self.codes[a:z], ids[off[r] : off[r + 1]], places - off[r], self.value, k)
+            if marked >= threshold * (z - a):
+                yield int(r), int(item), marked, tiles, int(z - a)
+
+    def _reachable(self, row: np.ndarray, lo: np.ndarray, n: np.ndarray, threshold: float):
+        """(row, item) of which the row's seeds, each a run of n places from lo on, cover as much as the threshold asks for: tiles can't cover more.
+
+        Rows are taken together while their places are no more than SEED_ROWS; one row has at most as many as the block.
+        """
+        k, size = self.least, np.diff(self.off)
+        _, first = np.unique(row * len(self.seed) + lo, return_index=True)
+        row, lo, n = row[first], lo[first], n[first]
+        ends = np.append(np.flatnonzero(np.diff(row)) + 1, len(row)) if len(row) else np.zeros(0, int)
         total = np.concatenate([[0], np.cumsum(n)])
-        t = np.repeat(at, n)
-        s = np.repeat(lo - total[:-1], n) + np.arange(total[-1])
-        p, item = self.seed_at[s], self.seed_item[s]
-        same = np.ones(len(t), bool)
-        for j in range(k):  # equal hashes are no proof
-            same &= ids[t + j] == self.codes[p + j]
-        t, p, item = t[same], p[same], item[same]
-        order = np.lexsort((t - p, item, row[t]))
-        t, p, item = t[order], p[order], item[order]
-        key = row[t] * len(self.ids) + item
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(t) else np.zeros(0, int)
-        for a, b in zip(starts, np.append(starts[1:], len(t))):
-            size = int(self.off[item[a] + 1] - self.off[item[a]])
-            reach = np.zeros(size + 1, np.int64)  # what seeds cover, which tiles can't exceed
-            places = np.unique(p[a:b]) - self.off[item[a]]
-            reach[places] += 1
-            np.subtract.at(reach, np.minimum(places + k, size), 1)
-            if (np.cumsum(reach)[:size] > 0).sum() < threshold * size:
-                continue
-            marked, tiles = tile(p[a:b] - self.off[item[a]], t[a:b] - off[row[t[a]]], k)
-            if marked >= threshold * size:
-                yield int(row[t[a]]), int(item[a]), marked, tiles, size
-
-
-def tile(p: np.ndarray, t: np.ndarray, least: int) -> tuple[int, int]:
-    """Greedy tiling from seeds: places in pattern and text where `least` tokens match. Returns (marked pattern tokens, tiles).
-
-    Seeds that follow each other on a diagonal make a maximal match. The longest match, the earliest of equals, is marked; one that an earlier tile
-    cuts goes back as its parts of at least `least` tokens.
+        a = 0
+        while a < len(row):
+            z = int(ends[max(np.searchsorted(total[ends], total[a] + SEED_ROWS, "right") - 1, np.searchsorted(ends, a, "right"))])
+            s, r = _stretched(lo[a:z], n[a:z]), np.repeat(row[a:z], n[a:z])
+            order = np.lexsort((self.seed_at[s], r))
+            s, r = s[order], r[order]
+            item, at = self.seed_item[s], r * (len(self.codes) + k) + self.seed_at[s]
+            gap = np.minimum(np.diff(np.append(at, at[-1] + k)), k)  # seeds of two items are at least k apart
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(r) != 0) | (np.diff(item) != 0)]))
+            enough = np.add.reduceat(gap, starts) >= threshold * size[item[starts]]
+            yield from zip(r[starts][enough], item[starts][enough])
+            a = z
+
+    def _places(self, at: np.ndarray, lo: np.ndarray, n: np.ndarray, item: int) -> np.ndarray:
+        """Those of the document's places whose seed stands in the item."""
+        seeds, back = np.unique(lo, return_inverse=True)
+        counts = np.zeros(len(seeds), np.int64)
+        counts[back] = n
+        # a seed's places are in order of item: one search in each run, by halves
+        a, z = seeds.copy(), seeds + counts
+        last = z.copy()
+        while (open_ := a < z).any():
+            mid = (a + z) // 2
+            less = np.zeros(len(a), bool)
+            less[open_] = self.seed_item[mid[open_]] < item
+            a, z = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, z)
+        found = np.zeros(len(a), bool)
+        inside = a < last
+        found[inside] = self.seed_item[a[inside]] == item
+        return at[found[back]]
+
+
+def tile(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, value: np.ndarray, least: int) -> tuple[int, int]:
+    """Greedy string tiling by running Karp-Rabin: (marked pattern tokens, tiles).
+
+    pattern and text are codes of tokens, `value` the random number of each, `starts` the text's places at which a match of `least` tokens may begin.
+    A search of some length finds all windows of that length that have no marked token and equal hashes, compared token by token; windows that follow each
+    other are one maximal match. Matches are marked from the longest on, the earliest in the pattern, then in the text, of equals. One that an
+    earlier tile cuts goes back as its parts, if these aren't shorter than the search. The first search is for half the pattern, and each
+    further one for half the length before, down to `least`: matches of a search are all longer than those which only later ones find.
     """
-    order = np.lexsort((p, t - p))
-    p, t = p[order], t[order]
-    new = np.concatenate([[True], (np.diff(t - p) != 0) | (np.diff(p) != 1)])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(p))) + least - 1
-    heap = [(-int(n), int(x), int(y)) for n, x, y in zip(size, p[first], t[first])]
-    heapq.heapify(heap)
-    used_p, used_t = np.zeros(int((p[first] + size).max()), bool), np.zeros(int((t[first] + size).max()), bool)
+    used_p, used_t = np.zeros(len(pattern), bool), np.zeros(len(text), bool)
+    in_p, in_t = _prefixes(value[pattern]), _prefixes(value[text])
     marked = tiles = 0
-    while heap:
-        n, x, y = heapq.heappop(heap)
-        n = -n
-        busy = used_p[x : x + n] | used_t[y : y + n]
-        if not busy.any():
-            used_p[x : x + n] = used_t[y : y + n] = True
+    size = max(least, len(pattern) // 2)
+    while True:
+        for n, p, t in _longest_first(_search(pattern, text, starts, in_p, in_t, used_p, used_t, size), used_p, used_t, size):
+            used_p[p : p + n] = used_t[t : t + n] = True
             marked += n
             tiles += 1
+        if size == least:
+            return marked, tiles
+        size = max(least, size // 2)
+
+
+def _free(used: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Those places at which `size` tokens are there and none is marked."""
+    at = at[at + size <= len(used)]
+    total = np.concatenate([[0], np.cumsum(used)])
+    return at[total[at + size] == total[at]]
+
+
+def _search(pattern, text, starts, in_p, in_t, used_p, used_t, size: int) -> list[tuple[int, int, int]]:
+    """Maximal matches (length, place in pattern, place in text) of at least `size` unmarked tokens.
+
+    Equal hashes are no proof: each window is compared with the first window of the pattern that has its hash, and each pair only if two windows of the
+    pattern differ in spite of equal hashes. Pairs are gone through in slices of about SEED_ROWS, and only maximal matches are kept of each.
+    """
+    p, t = _free(used_p, np.arange(len(pattern)), size), _free(used_t, starts, size)
+    if not len(p) or not len(t):
+        return []
+    hp, ht = _hashes(*in_p, p, size), _hashes(*in_t, t, size)
+    order = np.argsort(hp, kind="stable")
+    p, hp = p[order], hp[order]
+    lo, n = np.searchsorted(hp, ht, "left"), np.searchsorted(hp, ht, "right")
+    n = n - lo
+    t, lo, n = t[n > 0], lo[n > 0], n[n > 0]
+    doubt = not _equal(pattern, p, pattern, p[np.searchsorted(hp, hp, "left")], size).all()
+    if not doubt:
+        same = _equal(text, t, pattern, p[lo], size)
+        t, lo, n = t[same], lo[same], n[same]
+    runs = []
+    step = max(1, SEED_ROWS // max(1, int(n.max(initial=1))))
+    for a in range(0, len(t), step):
+        y, x = np.repeat(t[a : a + step], n[a : a + step]), p[_stretched(lo[a : a + step], n[a : a + step])]
+        if doubt:
+            same = _equal(text, y, pattern, x, size)
+            y, x = y[same], x[same]
+        runs.append(_runs(y - x, x, np.ones(len(x), np.int64)))
+    if not runs:
+        return []
+    diagonal, x, n = _runs(*map(np.concatenate, zip(*runs)))
+    return list(zip((n + size - 1).tolist(), x.tolist(), (x + diagonal).tolist()))
+
+
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: int) -> np.ndarray:
+    same = np.ones(len(at), bool)
+    for j in range(size):
+        same &= a[at + j] == b[bt + j]
+    return same
+
+
+def _runs(diagonal: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (diagonal, place, length) put together where one ends before the next."""
+    order = np.lexsort((x, diagonal))
+    diagonal, x, n = diagonal[order], x[order], n[order]
+    if not len(x):
+        return diagonal, x, n
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(diagonal) != 0) | (x[1:] != x[:-1] + n[:-1])]))
+    return diagonal[first], x[first], np.add.reduceat(n, first)
+
+
+def _longest_first(found: list[tuple[int, int, int]], used_p: np.ndarray, used_t: np.ndarray, size: int):
+    """The matches to mark, in order; the caller marks each before it asks for the next."""
+    heap = [(-n, p, t) for n, p, t in found]
+    heapq.heapify(heap)
+    while heap:
+        n, p, t = heapq.heappop(heap)
+        busy = used_p[p : p - n] | used_t[t : t - n]
+        if not busy.any():
+            yield -n, p, t
             continue
-        free = np.flatnonzero(np.diff(np.concatenate([[1], busy, [1]])))
-        for a, b in zip(free[0::2], free[1::2]):
-            if b - a >= least:
-                heapq.heappush(heap, (-int(b - a), x + int(a), y + int(a)))
-    return marked, tiles
+        edges = np.flatnonzero(np.diff(np.concatenate([[1], busy, [1]])))
+        for a, z in zip(edges[0::2], edges[1::2]):
+            if z - a >= size:
+                heapq.heappush(heap, (-int(z - a), p + int(a), t + int(a)))
 
 
 def _blocks(benchmark: DataFrame, least: int):

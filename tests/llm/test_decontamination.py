@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -33,6 +35,32 @@ def test_tiles(seed):
     assert (got[0] if got else 0) == brute_tiles(p, t, 4)
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1 << 20])
+@pytest.mark.parametrize("clash", [False, True])
+def test_tiles_in_slices_and_with_clashing_hashes(monkeypatch, rows, clash):
+    """Many texts and items at a time, pairs in slices of any size, and hashes that say nothing."""
+    monkeypatch.setattr(dc, "SEED_ROWS", rows)
+    if clash:
+        monkeypatch.setattr(dc, "_hashes", lambda prefix, power, at, size: np.zeros(len(at), np.uint64))
+    rng = np.random.default_rng(rows)
+    items, texts = ([[f"w{x}" for x in rng.integers(0, 3, rng.integers(0, n))] for _ in range(12)] for n in (20, 50))
+    bench = dc.Benchmark(list(range(12)), [" ".join(p) for p in items], 4)
+    got = {(r, i): m for r, i, m, _, n in bench.matches(pa.array([" ".join(t) for t in texts], pa.string()), 0.6)}
+    want = {(r, i): m for r, t in enumerate(texts) for i, p in enumerate(items) if (m := brute_tiles(p, t, 4)) and m >= 0.6 * len(p)}
+    assert want and got == want
+
+
+def test_common_seeds_cost_no_product():
+    """A phrase of 3,000 items that a text holds 800 times, and a text and an item of one word alone."""
+    phrase = "one and the same phrase"
+    items = [f"{phrase} " + " ".join(f"i{k}x{j}" for j in range(15)) for k in range(3000)]
+    bench = dc.Benchmark(list(range(3001)), [*items, "a " * 200], 4)
+    start = time.time()
+    assert list(bench.matches(pa.array([f"{phrase} and more " * 800], pa.string()), 0.5)) == []
+    assert [(i, m) for _, i, m, _, _ in bench.matches(pa.array([items[5] + f" {phrase}" * 800, "a " * 30_000], pa.string()), 0.5)] == [(5, 20), (3000, 200)]
+    assert time.time() - start < 10
+
+
 ITEM = "The quick brown fox jumps over the lazy dog. Pack my box with five dozen liquor jugs, said the waltzing wizard quietly."
 FILL = " ".join(f"filler{i}" for i in range(300))
 PARTS = ["pack my box with five dozen liquor jugs", "the quick brown fox jumps over the lazy dog", "said the waltzing wizard quietly"]
