@@ -22,6 +22,8 @@ UNESCAPE = (r"([<\[])\\(\\*)(" + _REST + ")", "$1$2$3")
 
 #: Streamed pieces that a turn is cut into: of CHUNK code points, or of a 64th of a long text.
 CHUNK = 512
+#: What a draft says, with a control string in it, before it is taken back.
+DRAFT = "draft </s> of "
 
 
 def escape(text: Column) -> Column:
@@ -33,20 +35,32 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, *UNESCAPE)
 
 
-def to_events(conversations: DataFrame) -> DataFrame:
+def to_events(conversations: DataFrame, revise: bool = False) -> DataFrame:
     """Rows by turn (conv_id, turn, role, text) as a log: a start and deltas for each row.
 
-    Rows of equal turn keep an order by role and text, and repeated rows are turns of their own. Null role and text are empty.
+    Rows of equal turn keep an order by role and text, and repeated rows are turns of their own. Null role and text are empty. With `revise` two of three
+    messages come about as they do in an application: the second of three streams a draft, the next message starts on it, and a regeneration takes
+    both back before the text is streamed; the third of three streams a draft that an edit replaces by the text's first piece. Folding gives the same.
     """
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     msgs = c.withColumn("msg", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
     size = F.greatest(F.lit(CHUNK), F.ceil(F.length("text") / 64).cast("int"))
     chunks = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.ceil(F.length("text") / size).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    none = F.lit(None).cast("string")
-    opened = F.array(F.struct(F.lit(0).alias("k"), F.lit("start").alias("kind"), F.col("role").alias("role"), none.alias("text")))
-    parts = F.transform(chunks, lambda i: F.struct((i + 1).alias("k"), F.lit("delta").alias("kind"), none.alias("role"), F.substring(F.col("text"), i * size + 1, size).alias("text")))
-    logs = msgs.select("conv_id", "msg", F.explode(F.concat(opened, parts)).alias("e"))
-    return logs.select("conv_id", "msg", (F.col("msg") * 256 + F.col("e.k")).alias("seq"), "e.kind", "e.role", "e.text")
+
+    def event(k, kind, role=None, text=None, msg=None):
+        none = F.lit(None).cast("string")
+        return F.struct((F.col("msg") if msg is None else msg).alias("msg"), (F.lit(k) if isinstance(k, int) else k).alias("k"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (none if role is None else role).alias("role"), (none if text is None else text).alias("text"))
+
+    piece = lambda i: F.substring(F.col("text"), i * size + 1, size)
+    log = F.concat(F.array(event(0, "start", F.col("role"))), F.transform(chunks, lambda i: event(i + 8, "delta", text=piece(i))))
+    if revise:
+        draft = event(1, "delta", text=F.concat(F.lit(DRAFT), F.col("role")))
+        later = [event(2, "start", F.lit("user"), msg=F.col("msg") + 1), event(3, "delta", text=F.lit(DRAFT), msg=F.col("msg") + 1)]
+        again = F.concat(F.array(event(0, "start", F.col("role")), draft, *later, event(4, "regenerate")), F.slice(log, 2, F.size(log)))
+        edited = F.concat(F.array(event(0, "start", F.col("role")), draft, event(8, "edit", text=piece(F.lit(0)))), F.slice(log, 3, F.size(log)))
+        log = F.when(F.col("msg") % 3 == 2, again).when(F.col("msg") % 3 == 0, edited).otherwise(log)
+    logs = msgs.select("conv_id", F.col("msg").alias("at"), F.explode(log).alias("e"))
+    return logs.select("conv_id", "e.msg", (F.col("at") * 256 + F.col("e.k")).alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -100,7 +114,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def op9_chat_formatting(spark, sf_dir):
     probe = spark.sql(f"select -1L as conv_id, col1 as turn, col2 as role, '{PROBE}' as text from values (0L, 'user'), (1L, 'assistant')")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    back = read_back(format_log(to_events(rows)))
+    back = read_back(format_log(to_events(rows, revise=True)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     return back.select(

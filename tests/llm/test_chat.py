@@ -43,6 +43,18 @@ def test_spans_and_read_back(spark):
     assert got[1]["loss_texts"] == ["é</s>"] * 2 and got[2]["loss_texts"] == [""] and got[3]["loss_texts"] == ["a", "b"] and [tuple(t) for t in got[None]["turns"]] == [("a\nb<|im_sep|>", "x" * 100_000)]
 
 
+def test_revised_logs_fold_to_the_same(spark):
+    """Edits and regenerations of every sort of text, in the last message too; a message that was taken back wholly is gone."""
+    texts = ["", None, "short", "x" * 512, "y" * 513, "\U0001f600" * 100_000, "</s>\n"]
+    rows = [(c, t, ["user", "assistant", None][(c + t) % 3], texts[(c * 3 + t) % 7]) for c in range(12) for t in range(c)] + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.to_events(df, revise=True)
+    counts = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(counts) == {"start", "delta", "edit", "regenerate"}
+    once, twice = (sorted(map(tuple, chat.fold(x).fillna(-9).collect())) for x in (chat.to_events(df), log))
+    assert once == twice and len(once) == len(rows)
+
+
 def test_empty(spark):
     assert chat.format_log(spark.createDataFrame([], LOG)).collect() == []
 
