@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..arrow import batches_of, bounded
 from ..functions import files as fx
 from ..functions import text as tx
+from .. import sources
 from . import packages, reports, scrub
+from .jobs import rate_limit_sliding
 
 RESULT = ("job_id", "backend", "status", "error", "cleaned", "content_type", "report", "summary")
 
@@ -118,6 +120,45 @@ def call_remote(files: DataFrame, transport, attempts: int = fx.MAX_ATTEMPTS, fi
     return files.select(*columns).mapInArrow(run, f"job_id {kind}, cleaned binary, kind string, report string, content_type string, error string, attempts int")
 
 
+#: What a refused upload answers, where it isn't 400.
+UPLOAD_STATUS = {"rate_limited": 429, "file_too_large": 413}
+
+
+def upload_gate(requests: DataFrame, jobs: DataFrame, limit: int = 30, seconds: int = 60, cap: int = fx.MAX_BYTES) -> DataFrame:
+    """What each upload answers: request_id, http, error, job_id, replayed, and name, content_type, extension, size_bytes and idempotency_key of new jobs.
+
+    requests: request_id (the id of a job that it opens), client, ts, content_length, content_type, idempotency_key, body; jobs: id, idempotency_key, one row
+    a key. The first that holds counts: over the rate limit, declared too long, no multipart form, no file, not admitted; then a known key answers its
+    job, and of requests with one new key the earliest opens a job that the others answer. Bodies are read where they lie: only names and
+    sizes are dealt out. A request without a key never shares a job, and has a partition of its own hash, however many there are.
+    """
+    bounded(requests.sparkSession)
+    long = F.coalesce(fx.header_too_large(F.col("content_length"), cap), F.lit(False))
+    part = sources.upload_part(F.col("content_type"), F.when(~long, F.coalesce("body", F.lit(b""))))
+    rows = requests.select("request_id", "client", "ts", long.alias("long"), F.nullif(tx.trimmed(F.col("idempotency_key")), F.lit("")).alias("idempotency_key"), part.alias("part"))
+    rows = rate_limit_sliding(rows, "client", "ts", limit, seconds)
+    name = F.coalesce(F.nullif("part.name", F.lit("")), F.lit("upload.bin"))
+    admitted = fx.admission(name, F.col("part.type"), F.col("part.size"), cap)
+    error = F.when(F.col("limited"), "rate_limited").when(F.col("long"), "file_too_large").otherwise(F.coalesce("part.error", F.nullif(admitted, F.lit("ok"))))
+    rows = rows.select("request_id", "ts", "idempotency_key", error.alias("error"), name.alias("name"), F.col("part.type").alias("content_type"), F.col("part.size").alias("size_bytes"))
+    meet = lambda key: F.concat(F.lit("k"), key)
+    asked = F.when(F.col("error").isNull(), meet(F.col("idempotency_key")))
+    rows = rows.withColumn("__meet", F.coalesce(asked, F.concat(F.lit("r"), F.col("request_id").cast("string"))))
+    known = jobs.filter("idempotency_key is not null").select(meet(F.col("idempotency_key")).alias("__meet"), F.col("id").alias("__known"))
+    first = rows.filter(F.startswith("__meet", F.lit("k"))).groupBy("__meet").agg(F.min(F.struct("ts", "request_id"))["request_id"].alias("__first"))
+    rows = rows.join(known, "__meet", "left").join(first, "__meet", "left")
+    ok = F.col("error").isNull()
+    job = F.when(ok, F.coalesce("__known", "__first", "request_id"))
+    replayed_ = ok & (F.col("__known").isNotNull() | F.coalesce(F.col("__first") != F.col("request_id"), F.lit(False)))
+    rows = rows.withColumns({"job_id": job, "replayed": replayed_})
+    refused = F.lit(400)
+    for code, status in UPLOAD_STATUS.items():
+        refused = F.when(F.col("error") == code, status).otherwise(refused)
+    new = lambda column: F.when(ok & ~F.col("replayed"), column)
+    http = F.when(~ok, refused).when(F.col("replayed"), 200).otherwise(202)
+    return rows.select("request_id", http.alias("http"), "error", "job_id", "replayed", *[new(F.col(c)).alias(c) for c in ("name", "content_type")], new(fx.extension_of(F.col("name"))).alias("extension"), *[new(F.col(c)).alias(c) for c in ("size_bytes", "idempotency_key")])
+
+
 def replayed(uploads: DataFrame, jobs: DataFrame, key: str = "idempotency_key") -> DataFrame:
     """Uploads with the job that their key already has, and whether there is one; uploads without a key never have one."""
     known = jobs.filter(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col("job_id").alias("known_job"))

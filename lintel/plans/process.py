@@ -97,3 +97,30 @@ def multipart_upload(spark, sf_dir):
 def upload_meta(spark, sf_dir):
     k = F.col("doc_id")
     return names(spark, sf_dir).select("doc_id", sources.upload_meta(F.concat(F.lit("j"), k.cast("string")), F.col("name"), F.col("content_type"), F.col("size"), F.lit(NOW_MS).cast("long")).alias("meta"))
+
+
+@query(
+    f"""with r as (select doc_id, doc_id + 100 * (doc_id // 50) as s, coalesce(text, '') as text, case when doc_id % 13 = 3 then null when doc_id % 3 = 0 then 'known' || doc_id % 5 else 'k' || doc_id // 4 end as key,
+      case doc_id % 7 when 0 then 'exe' when 1 then 'pdf' else 'txt' end as ext from documents),
+    n as (select *, count(*) over (order by s range between 59 preceding and current row) as n from r),
+    e as (select *, case when n > 30 then 'rate_limited' when doc_id % 17 = 0 then 'file_too_large' when doc_id % 19 = 0 then 'unsupported_media' when doc_id % 23 = 0 then 'missing_file' when text = '' then 'empty_file'
+      when ext = 'exe' then 'extension_blocked' when doc_id % 29 = 0 then 'content_type_blocked' end as error from n),
+    f as (select *, case when error is null then min(case when error is null then doc_id end) over (partition by key) end as first from e),
+    j as (select *, case when error is not null then null when key like 'known%' then -1 - doc_id % 5 when key is null then doc_id else first end as job_id from f)
+    select doc_id as request_id, case when error = 'rate_limited' then 429 when error = 'file_too_large' then 413 when error is not null then 400 when job_id <> doc_id then 200 else 202 end as http, error, job_id,
+      error is null and job_id <> doc_id as replayed, case when job_id = doc_id then 'n' || doc_id || '.' || ext end as name, case when job_id = doc_id then ext end as extension,
+      case when job_id = doc_id then octet_length(encode(text)) end as size_bytes, case when job_id = doc_id then key end as idempotency_key from j"""
+)
+def upload_gate(spark, sf_dir):
+    """Uploads of one client in bursts of fifty, of all sorts, a fifth of the keys known and others shared by requests next to each other."""
+    k = F.col("doc_id")
+    ext = F.when(k % 7 == 0, "exe").when(k % 7 == 1, "pdf").otherwise("txt")
+    kind = F.when(k % 29 == 0, "Application/x-msdownload ; q=1").otherwise("text/plain")
+    head = F.concat(F.lit('--edge\r\nContent-Disposition: form-data; name="'), F.when(k % 23 == 0, "other").otherwise("file"), F.lit('"; filename="n'), k.cast("string"), F.lit("."), ext, F.lit('"\r\nContent-Type: '), kind, F.lit("\r\n\r\n"))
+    key = F.when(k % 13 != 3, F.when(k % 3 == 0, F.concat(F.lit("known"), (k % 5).cast("string"))).otherwise(F.concat(F.lit("\tk"), F.floor(k / 4).cast("string"), F.lit(" "))))
+    requests = table(spark, sf_dir, "documents").select(
+        k.alias("request_id"), F.lit("client").alias("client"), F.timestamp_seconds(k + 100 * F.floor(k / 50)).alias("ts"), F.when(k % 17 == 0, fx.MAX_BYTES + fx.HEADER_SLACK + 1).otherwise(1000).alias("content_length"),
+        F.when(k % 19 == 0, "text/plain").otherwise("multipart/form-data; boundary=edge").alias("content_type"), key.alias("idempotency_key"), F.concat(head, F.coalesce("text", F.lit("")), F.lit("\r\n--edge--\r\n")).cast("binary").alias("body"),
+    )
+    jobs = spark.range(5).select((-1 - F.col("id")).alias("id"), F.concat(F.lit("known"), F.col("id").cast("string")).alias("idempotency_key"))
+    return process.upload_gate(requests, jobs).drop("content_type")

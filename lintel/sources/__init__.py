@@ -110,6 +110,20 @@ def parse_uploads(df: DataFrame, key: str, content_type: str = "content_type", b
     return df.select(F.col(key).alias("key"), content_type, body).mapInArrow(run, f"key {kind}, name string, type string, content binary, error string").withColumnRenamed("key", key)
 
 
+def upload_part(content_type: Column, body: Column) -> Column:
+    """struct(name, type, size, error) of a multipart body's file; null for a null body. The file's bytes stay in the worker."""
+    kind = pa.struct([("name", pa.string()), ("type", pa.string()), ("size", pa.int64()), ("error", pa.string())])
+
+    def one(media, data):
+        name, own, content, error = parse_upload(media, data)
+        return {"name": name, "type": own, "size": None if content is None else len(content), "error": error}
+
+    def run(media: pa.Array, bodies: pa.Array) -> pa.Array:
+        return pa.array([None if d is None else one(m, d) for m, d in zip(media.to_pylist(), bodies.to_pylist())], kind)
+
+    return F.arrow_udf(run, "name string, type string, size bigint, error string")(content_type, body)
+
+
 def upload_meta(job_id: Column, name: Column, content_type: Column, size: Column, created_ms: Column) -> Column:
     """The JSON that is kept beside an original."""
     return F.to_json(F.struct(job_id.alias("jobId"), name.alias("originalName"), content_type.alias("contentType"), size.alias("sizeBytes"), created_ms.alias("createdAt")), {"ignoreNullFields": "false"})
