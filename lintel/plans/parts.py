@@ -48,12 +48,11 @@ def reference_antijoin(spark, sf_dir):
     return packages.dangling_free(refs, gone, "doc_id")
 
 
-def _first(n: int) -> str:
-    return f"regexp_replace(substring(text, 1, {n}), '[<>&\"]', ' ', 'g')"
+_PLAIN = "regexp_replace(coalesce(text, ''), '[<>&\"]', ' ', 'g')"
 
 
 def _xml(spark, sf_dir, build):
-    text = F.regexp_replace(F.substring("text", 1, 40), '[<>&"]', " ")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), '[<>&"]', " ")
     return table(spark, sf_dir, "documents").select("doc_id", build(text, F.col("doc_id")).alias("xml"))
 
 
@@ -65,7 +64,7 @@ def _core(t, k):
     )
 
 
-_CORE = f"""'<cp:coreProperties><dc:title>' || {_first(40)} || '</dc:title><dc:creator>' || {_first(40)} || '</dc:creator>' || chr(10) || '<cp:lastModifiedBy/><cp:revision>' || doc_id || '</cp:revision>'
+_CORE = f"""'<cp:coreProperties><dc:title>' || {_PLAIN} || '</dc:title><dc:creator>' || {_PLAIN} || '</dc:creator>' || chr(10) || '<cp:lastModifiedBy/><cp:revision>' || doc_id || '</cp:revision>'
   || case when doc_id % 7 = 0 then '<cp:category a="1"/><dc:language>en</dc:language><cp:category>x</cp:category>' else '<cp:category a="1"/>' end
   || case when doc_id % 3 = 0 then '<dcterms:created xsi:type="dcterms:W3CDTF">2024-01-01T00:00:00Z</dcterms:created>' else '' end || '</cp:coreProperties>'"""
 
@@ -74,7 +73,7 @@ def _app(t, k):
     return F.concat(F.lit("<Properties><Application>"), t, F.lit("</Application><Pages>"), k.cast("string"), F.lit("</Pages>"), F.when(k % 2 == 0, "<Company>c</Company><TotalTime/>").otherwise("<ApplicationX>1</ApplicationX>"), F.lit("</Properties>"))
 
 
-_APP = f"""'<Properties><Application>' || {_first(40)} || '</Application><Pages>' || doc_id || '</Pages>' || case when doc_id % 2 = 0 then '<Company>c</Company><TotalTime/>' else '<ApplicationX>1</ApplicationX>' end || '</Properties>'"""
+_APP = f"""'<Properties><Application>' || {_PLAIN} || '</Application><Pages>' || doc_id || '</Pages>' || case when doc_id % 2 = 0 then '<Company>c</Company><TotalTime/>' else '<ApplicationX>1</ApplicationX>' end || '</Properties>'"""
 
 
 def _drop_sql(source: str, tags) -> str:
@@ -120,7 +119,7 @@ _NAMES = "[" + ", ".join(quoted(p) for p in PROPERTIES) + "]"
 
 
 def _block_sql(shift: int) -> str:
-    return f"""'<property fmtid="{{D5}}" pid="2" name="' || ({_NAMES})[(doc_id + {shift}) % {len(PROPERTIES)} + 1] || '"><vt:lpwstr>' || {_first(40)} || '</vt:lpwstr></property>'"""
+    return f"""'<property fmtid="{{D5}}" pid="2" name="' || ({_NAMES})[(doc_id + {shift}) % {len(PROPERTIES)} + 1] || '"><vt:lpwstr>' || {_PLAIN} || '</vt:lpwstr></property>'"""
 
 
 _CUSTOM = f"""select doc_id, '<Properties>' || {_block_sql(0)} || chr(10) || ' ' || {_block_sql(5)} || '<property pid="3"><vt:i4>1</vt:i4></property></Properties>' as xml from documents"""
