@@ -4,8 +4,9 @@ A 64-bit fingerprint maps to the number of bits set in each of 32 segments of tw
 more than the Hamming distance of the fingerprints, so pairs within a Hamming radius lie within the same radius in the embedding. A grid over
 groups of segments finds these (at radius r, some g - r of g groups agree wholly), Manhattan distance thins them and Hamming distance verifies.
 
-Near-duplicates by word shingles (`similar_documents`) are found by several such fingerprints of the words' pairs, at a wider radius, and verified exactly by the
-shingles that two texts have in common.
+Near-duplicates by word shingles (`similar_documents`) don't use fingerprints, which miss some at any radius. Of each text's shingles, in one order for all texts, so many come
+first that similar texts have one of these in common; texts that share one are candidates, and verified by all their shingles. Only what candidates link is joined: a
+candidate that fails joins nothing, so it can't stand in for a link.
 
 The vectors are held in unary: a segment's count 0, 1, 2 as 00, 01, 11. Manhattan distance is then the popcount of an exclusive or.
 """
@@ -29,8 +30,13 @@ RADIUS = 4
 CELL_ROWS = 16_384
 #: Near-duplicates by shingles: words of a shingle, and the share of the shingles of two texts, of either, that both have.
 WORDS, SIMILARITY = 5, 0.8
-#: How their candidates are found: fingerprints of pairs of words, how far two may be apart in one of these, and how far in the text's own fingerprint.
-TABLES, PAIR_RADIUS, OWN_RADIUS = 4, 6, 20
+#: The order of shingles puts common ones last. They are counted in one of STEP texts, in more while these are fewer than COUNTED; those that COMMON of these hold are common, at most
+#: MOST_COMMON. Any order gives the same links: this one makes few texts share a shingle that comes first.
+COUNTED, STEP, COMMON, MOST_COMMON = 8_192, 64, 3, 500_000
+#: Texts that share a shingle are all compared at once if they are at most so many; of more texts the first is compared with all, then the next few, as far as they aren't joined yet.
+FULL = 32
+#: For rounding: bounds that only spare work are looser by so much.
+SLACK = 1e-6
 #: Links of one text that are verified together.
 STAR = 64
 
@@ -113,6 +119,30 @@ class _Texts:
         total, h = self.hashes(size)
         return [np.unique(h[a:b]) for a, b in zip(total[:-1], total[1:])]
 
+    def leading(self, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, hash, number of the text's distinct window hashes, place) of the hashes that come first, one of which any two texts of such a similarity share."""
+        total, h = self.hashes(size)
+        text = np.repeat(np.arange(len(total) - 1), np.diff(total))
+        order = np.lexsort((h, _ranks(h, common), text))
+        text, h = text[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
+        text, h = text[new], h[new]
+        n = np.bincount(text, minlength=len(total) - 1)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        n = n[text]
+        first = place <= n - np.ceil(similarity * n - SLACK)
+        return text[first], h[first], n[first], place[first]
+
+
+def _ranks(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How common each hash is, by (sorted hashes, how often each was counted); 0 for others."""
+    known, count = common
+    if not len(known):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, count[at], 0)
+
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """SimHash of each text: A-Z in lower case, words [^\\x20\\x09-\\x0D]+, shingles with repeats; no word gives 0."""
@@ -126,28 +156,18 @@ def _mixed(h: np.ndarray, table: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", tables: int = 0, keep: bool | list[str] = True) -> DataFrame:
-    """docs with its text's fingerprint as a long, fp. With `tables` also `key`, a hash of the text's words, and so many fingerprints of its pairs of words,
-    fp1, fp2, ... A null text has those of an empty one.
-    """
+def with_fingerprint(docs: DataFrame, text: str = "text", keep: bool | list[str] = True) -> DataFrame:
+    """docs with its text's fingerprint as a long, fp. A null text has that of an empty one."""
     from pyspark.sql import types as T
 
-    names = _names(tables)
+    return map_rows(docs, [text], lambda c: {"fp": fingerprints(c[text]).view(np.int64)}, [("fp", T.LongType())], keep)
 
-    def run(c):
-        t = _Texts(c[text])
-        out = {"fp": t.fingerprints(SHINGLE, SEED).view(np.int64)}
-        if tables:
-            total, h = t.hashes(2)
-            out["key"] = t.keys().view(np.int64)
-            out |= {f"fp{k}": _majority(_mixed(h, k), total).view(np.int64) for k in range(1, tables + 1)}
-        return out
-
-    return map_rows(docs, [text], run, [(n, T.LongType()) for n in names], keep)
 
+def with_key(docs: DataFrame, text: str = "text", keep: bool | list[str] = True) -> DataFrame:
+    """docs with `key`, a hash of its text's words as a long. A null text has that of an empty one."""
+    from pyspark.sql import types as T
 
-def _names(tables: int) -> list[str]:
-    return ["fp", *["key"] * (tables > 0), *[f"fp{t}" for t in range(1, tables + 1)]]
+    return map_rows(docs, [text], lambda c: {"key": _Texts(c[text]).keys().view(np.int64)}, [("key", T.LongType())], keep)
 
 
 def _masks(groups: int, radius: int) -> list[int]:
@@ -375,31 +395,179 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _classes(rows, nodes, fingerprint_links(nodes.select("fp"), radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, tables: int = TABLES, radius: int = PAIR_RADIUS, own_radius: int = OWN_RADIUS) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """doc_id, key and component_id of each row of docs (doc_id, text; other columns are ignored), by word shingles.
 
     Texts of equal words, but for the case of A-Z, are one node, told by `key`. Nodes link if of the distinct shingles of `words` words that either has, at least
-    the share `similarity` is in both (a shorter text is one shingle): every link is verified on whole texts. Candidates are nodes whose fingerprints of pairs of words are
-    within `radius` in one of `tables` tables and whose own are within `own_radius`; that finds most but not all such pairs. Null, empty and repeated rows, rows without an id and
+    the share `similarity` (over 0) is in both (a shorter text is one shingle). Classes are the closure of all such links. Null, empty and repeated rows, rows without an id and
     empty tables are as in near_duplicates.
     """
-    names = _names(tables)
     source = _source(docs)
-    rows = materialize(with_fingerprint(source, tables=tables, keep=["doc_id"]), "fingerprints")
-    nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.min(n).alias(n) for n in names if n != "key"]), "nodes")
-    turned = nodes.select(F.col("key").alias("node"), F.col("fp").alias("own"), F.posexplode(F.array(*names[2:])).alias("table", "other"))
-    found = materialize(fingerprint_links(turned.select("table", F.col("other").alias("fp"), "node", "own"), radius, by="table", own_radius=own_radius), "candidates")
-    return _classes(rows.select("doc_id", "key"), nodes.select("key", "least"), _verified(found, nodes, source, similarity, words), "key").select("doc_id", "key", "component_id")
+    rows = materialize(with_key(source, keep=["doc_id"]), "keys")
+    nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
+    cells = materialize(_sharing(source, _common(source, nodes, words), similarity, words), "cells")
+    return _classes(rows, nodes, _joined(cells, nodes, source, similarity, words), "key").select("doc_id", "key", "component_id")
 
 
-SETS = "key long, shingles binary"
+def _texts_of(source: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of source's rows that have the least id of one of the nodes; all of the nodes' texts are among them."""
+    ids = materialize(nodes.select(F.col("least").alias("id")).distinct(), "ids")  # a table, whose size Spark knows: a small one is broadcast rather than all texts dealt out
+    return source.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
 
 
-def _verified(links: DataFrame, nodes: DataFrame, source: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The links (a, b) whose texts are as similar as that.
+def _common(source: DataFrame, nodes: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of common shingles, how often each was counted): a bounded list that only the order of shingles is taken from."""
+
+    def run(batches):
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                for x in _Texts(part.column("text")).sets(words):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["h"])
+        release()
+
+    step = min(STEP, max(1, nodes.count() // COUNTED))
+    some = nodes.filter(F.pmod(F.xxhash64("key"), F.lit(step)) == 0)
+    found = materialize(_texts_of(source, some).mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON), "common")
+    most, least = 0, COMMON
+    for count, n in sorted((tuple(r) for r in found.groupBy("count").agg(F.count("*")).collect()), reverse=True):
+        if (most := most + n) > MOST_COMMON:
+            least = count + 1
+            break
+    got = found.filter(F.col("count") >= least).toArrow()
+    h, count = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], count[order]
+
+
+def _whole(batches, rows: int = 65_536):
+    """The columns of batches that are sorted by the first one, in parts of whole runs of it."""
+    kept, count, most = [], 0, rows
+    for batch in batches:
+        kept.append([x.to_numpy() for x in batch.columns])
+        count += batch.num_rows
+        if count < most:
+            continue
+        c = [np.concatenate(x) for x in zip(*kept)]
+        other = np.flatnonzero(c[0] != c[0][-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield [x[:cut] for x in c]
+        kept, count = [[x[cut:] for x in c]], len(c[0]) - cut
+        most = max(rows, 2 * count)
+    if count:
+        yield [np.concatenate(x) for x in zip(*kept)]
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where the run of equal values begins that each value is in, how long it is)."""
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    size = np.diff(np.append(start, len(x)))
+    return np.repeat(start, size), np.repeat(size, size)
+
+
+def _meet(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows i and j may be as similar as that. Texts that share no earlier shingle have at most those from this one on in common; if they share one, they meet there."""
+    return np.minimum(n[i] - place[i], n[j] - place[j]) >= similarity / (1 + similarity) * (n[i].astype(np.int64) + n[j]) - SLACK
+
+
+def _paired(h: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows may be similar to another one of their cell; of a cell of over 2 * FULL rows all."""
+    at, size = _runs(h)
+    out = size > 2 * FULL
+    act = np.flatnonzero(~out)
+    d = 1
+    while len(act := act[act - d >= at[act]]):
+        got = act[_meet(n, place, act, act - d, similarity)]
+        out[got] = out[got - d] = True
+        d += 1
+    return out
+
+
+CELLS = "h long, node long, n int, place int"
+
+
+def _sharing(source: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float, words: int) -> DataFrame:
+    """Rows (h, node, n, place): a shingle that comes first in several nodes' texts, such a node, how many shingles its text has and where h is among these."""
+
+    def leading(batches):
+        seen: set[int] = set()  # spares most copies; those that it lets through are dropped later
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                t = _Texts(part.column("text"))
+                key = t.keys().view(np.int64)
+                fresh = np.array([not (k in seen or seen.add(k)) for k in key.tolist()], bool)
+                text, h, n, place = t.leading(words, similarity, common)
+                got = fresh[text]
+                yield pa.RecordBatch.from_arrays([pa.array(h[got].view(np.int64)), pa.array(key[text[got]]), pa.array(n[got], pa.int32()), pa.array(place[got], pa.int32())], names=["h", "node", "n", "place"])
+                if len(seen) > 200_000:
+                    seen.clear()
+        release()
+
+    def shared(batches):
+        for c in _whole(batches):
+            new = np.ones(len(c[0]), bool)
+            new[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
+            c = [x[new] for x in c]
+            several = _paired(*c, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in c], names=["h", "node", "n", "place"])
+        release()
+
+    return source.select("text").mapInArrow(leading, CELLS).repartition("h").sortWithinPartitions("h", "node").mapInArrow(shared, CELLS)
+
+
+def _pairs(lo: int, hi: int, similarity: float):
+    """Rows (h, node, n, place, label), sorted by the first two, to candidates (a, b) of different labels, of which a is one of the lo-th to hi-th node of h; of few nodes all."""
+    def run(batches):
+        for h, node, n, place, label in _whole(batches):
+            at, size = _runs(h)
+            index = np.arange(len(h)) - at
+            end = np.where(size <= FULL, FULL, hi)
+            act = np.flatnonzero(index > lo)
+            k = lo
+            while len(act := act[(index[act] > k) & (end[act] > k)]):
+                i = act[label[act] != label[at[act] + k]]
+                j = at[i] + k
+                got = _meet(n, place, i, j, similarity)
+                if got.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[j[got]]), pa.array(node[i[got]])], names=["a", "b"])
+                k += 1
+        release()
+
+    return run
+
 
-    Only linked texts are read again. A link's texts meet in a group of about STAR links of one text, so a text of many links is no single group.
+def _joined(cells: DataFrame, nodes: DataFrame, source: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links (a, b) of nodes that are as similar as that, whose closure is that of all such links.
+
+    Rounds: of a cell, the nodes that share a shingle, first one is compared with all others, then 31, 992, ... more with those that verified links haven't joined with them yet, until each pair
+    of nodes has been compared or joined. So a dense group of n takes about n comparisons, and no candidate is left out.
     """
+    used = materialize(nodes.join(cells.select(F.col("node").alias("key")).distinct(), "key", "left_semi"), "linked")
+    shingles = materialize(_shingles(source, used, words), "shingles")
+    lo, hi, links = 0, 1, None
+    now = cells.withColumn("label", F.col("node"))
+    while True:
+        met = now.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_pairs(lo, hi, similarity), "a long, b long")
+        found = _verified(materialize(met.distinct(), "candidates"), shingles, similarity)
+        links = found if links is None else links.unionByName(found)
+        large = now.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > max(hi, FULL)).select("h")
+        if large.isEmpty():
+            return links
+        cells = materialize(now.join(large, "h", "left_semi").select("h", "node", "n", "place"), "cells")
+        labels = components(links).withColumnRenamed("component", "label")
+        named = cells.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        apart = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
+        now = materialize(named.join(apart, "h", "left_semi").select("h", "node", "n", "place", "label"), "cells")
+        if now.isEmpty():
+            return links
+        lo, hi = hi, 32 * hi
+
+
+SETS = "key long, shingles binary"
+
+
+def _shingles(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(key, shingles) of the nodes (key, least): the hashes of each text's distinct shingles, sorted."""
 
     def sets(batches):
         for batch in batches:
@@ -408,11 +576,14 @@ def _verified(links: DataFrame, nodes: DataFrame, source: DataFrame, similarity:
                 yield pa.RecordBatch.from_arrays([pa.array(t.keys().view(np.int64)), pa.array([x.tobytes() for x in t.sets(words)], pa.binary())], names=["key", "shingles"])
         release()
 
-    used = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).distinct()
-    used = materialize(used, "linked")  # a table, whose size Spark knows: a small one is broadcast rather than all texts dealt out
-    ids = materialize(nodes.join(used, "key", "left_semi").select(F.col("least").alias("id")).distinct(), "ids")
-    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    shingles = materialize(texts.mapInArrow(sets, SETS).join(used, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
+    return _texts_of(source, nodes).mapInArrow(sets, SETS).join(nodes.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+
+def _verified(links: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts are as similar as that.
+
+    A link's texts meet in a group of about STAR links of one text, so a text of many links is no single group.
+    """
     many = links.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("stars"))
     stars = links.join(many, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("stars"))).alias("star"), "a", "b")
     wanted = stars.select("star", F.col("a").alias("key"), F.lit(True).alias("middle")).distinct().union(stars.select("star", F.col("b").alias("key"), F.lit(False).alias("middle")))
@@ -437,12 +608,12 @@ def _verified(links: DataFrame, nodes: DataFrame, source: DataFrame, similarity:
     return materialize(met.mapInArrow(run, "a long, b long"), "verified")
 
 
-def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, tables: int = TABLES) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """docs with one document of each group of near-duplicates by word shingles, that of the smallest doc_id; all columns stay.
 
     Repeated rows of that id come down to one, and of an id of several texts each is decided on by its own. Rows without an id all stay: nothing can name them.
     """
-    found = materialize(similar_documents(docs, similarity, words, tables), "near-duplicates").filter("doc_id is not null")
+    found = materialize(similar_documents(docs, similarity, words), "near-duplicates").filter("doc_id is not null")
     per = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "decisions")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.join(per.filter("not stays").select("doc_id"), "doc_id", "left_anti").select(*columns)
@@ -451,7 +622,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, words: int = WO
         return kept
     once = kept.join(twice, "doc_id", "left_anti").select(*columns)
     several = kept.join(twice, "doc_id", "left_semi").select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    keyed = with_fingerprint(several, tables=1).select("row", "id", "key")
+    keyed = with_key(several).select("row", "id", "key")
     stays = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id"), "key").distinct()
     return once.unionByName(keyed.join(stays, ["id", "key"], "left_semi").dropDuplicates(["id"]).select("row.*"))
 

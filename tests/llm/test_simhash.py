@@ -168,3 +168,46 @@ def brute_closure(nodes, links):
         x, y = label[a], label[b]
         label = {n: x if v == y else v for n, v in label.items()}
     return len(set(label.values()))
+
+
+def all_pairs(rows):
+    """The least id of each row's class, by all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    label = [d for d, _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and similar(sets[i], sets[j]):
+                x, y = sorted((label[i], label[j]))
+                label = [x if v == y else v for v in label]
+    return {d: c for (d, _), c in zip(rows, label)}
+
+
+def test_failed_candidate_hides_no_link(spark):
+    """Texts around one that is close to all by fingerprints, and similar to few: what it fails to link, others do; edits from just above to just below 0.8."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(12):
+        base = " ".join(f"w{x}" for x in rng.integers(0, 4000, 150))
+        for k in range(10):
+            rows.append((100 * g + k, edited(base, (2 + k % 3) / 150, rng)))
+    got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_pairs(rows)
+
+
+@pytest.mark.parametrize("full, common", [(8, 3), (1, 3), (2, 10**9)])
+def test_similar_documents_are_all_pairs(spark, sf, full, common, monkeypatch):
+    """No link of 0.8 or more is lost: texts with a line in common, groups of near copies, tiny texts; one comparison a round or more, with and without an order by how common shingles are."""
+    monkeypatch.setattr(sh, "FULL", full)
+    monkeypatch.setattr(sh, "COMMON", common)
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    line = words(12)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if len(r["text"] or "") < 1500][:60]
+    base = words(120)
+    rows += [(1000 + k, edited(base, (1 + k % 4) / 120, rng)) for k in range(60)] + [(2000 + k, f"{line} {words(14)}") for k in range(60)]
+    rows += [(3000 + k, f"{line} {line.replace('w', 'v', k % 3)} tail") for k in range(9)] + [(4000, "a b"), (4001, "A  b"), (4002, "a c"), (4003, " "), (4004, None)]
+    parts = base.split(" ")
+    rows += [(5000 + k, " ".join(parts[k:] + parts[:k])) for k in (0, 13, 59, 100)]
+    got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = all_pairs(rows)
+    assert got == {d: 4003 if d == 4004 else c for d, c in want.items()} and len(set(want.values())) < len(rows) - 40
