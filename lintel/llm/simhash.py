@@ -6,13 +6,15 @@ groups of segments finds these (at radius r, some g - r of g groups agree wholly
 
 Near-duplicates by word shingles (`similar_documents`) don't use fingerprints, which miss some at any radius. Of each text's shingles, in one order for all texts, so many come
 first that similar texts have one of these in common; texts that share one are candidates, and verified by all their shingles. Only what candidates link is joined: a
-candidate that fails joins nothing, so it can't stand in for a link.
+candidate that fails joins nothing, so it can't stand in for a link. Before that, sketches of the texts rule most candidates out: a bit says whether an odd number of a text's
+shingles falls on it, so each bit in which two sketches differ stands for a shingle that only one of the texts has.
 
 The vectors are held in unary: a segment's count 0, 1, 2 as 00, 01, 11. Manhattan distance is then the popcount of an exclusive or.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -35,10 +37,18 @@ WORDS, SIMILARITY = 5, 0.8
 COUNTED, STEP, COMMON, MOST_COMMON = 8_192, 64, 3, 500_000
 #: Texts that share a shingle are all compared at once if they are at most so many; of more texts the first is compared with all, then the next few, as far as they aren't joined yet.
 FULL = 32
+#: Rows of a cell that are all compared by their sketches, before a round begins: those without a partner go. A larger cell keeps all rows.
+NEAR = 1024
 #: For rounding: bounds that only spare work are looser by so much.
 SLACK = 1e-6
 #: Links of one text that are verified together.
 STAR = 64
+#: Bits of a text's sketch: 0.6 to 1.2 times its shingles, within these bounds. A text of over LONG times the most, which no sketch of so many bits can tell from another, has the least.
+LEAST_BITS, MOST_BITS, LONG = 64, 8_192, 2.25
+#: Words of sketches that are compared at once.
+SKETCH_WORDS = 1 << 20
+#: Slots of a filter of keys: some 2 MB, whatever the number of keys. It lets all of these through and, the more they are, other ones too, which a join drops.
+SLOTS = 1 << 24
 
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -119,6 +129,15 @@ class _Texts:
         total, h = self.hashes(size)
         return [np.unique(h[a:b]) for a, b in zip(total[:-1], total[1:])]
 
+    def sketches(self, size: int) -> list[bytes]:
+        """Which of a text's bits an odd number of its distinct window hashes falls on."""
+        out = []
+        for x in self.sets(size):
+            m = LEAST_BITS if len(x) > LONG * MOST_BITS else min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(max(1, 0.6 * len(x))))))
+            odd = np.bincount((x & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+            out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+        return out
+
     def leading(self, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, hash, number of the text's distinct window hashes, place) of the hashes that come first, one of which any two texts of such a similarity share."""
         total, h = self.hashes(size)
@@ -170,6 +189,17 @@ def with_key(docs: DataFrame, text: str = "text", keep: bool | list[str] = True)
     return map_rows(docs, [text], lambda c: {"key": _Texts(c[text]).keys().view(np.int64)}, [("key", T.LongType())], keep)
 
 
+def with_sketch(docs: DataFrame, words: int, text: str = "text", keep: bool | list[str] = True) -> DataFrame:
+    """docs with `key`, as with_key, and `bits`, the sketch of its text's shingles."""
+    from pyspark.sql import types as T
+
+    def run(c):
+        t = _Texts(c[text])
+        return {"key": t.keys().view(np.int64), "bits": pa.array(t.sketches(words), pa.binary())}
+
+    return map_rows(docs, [text], run, [("key", T.LongType()), ("bits", T.BinaryType())], keep)
+
+
 def _masks(groups: int, radius: int) -> list[int]:
     """A mask over the 64 unary bits for each choice of groups that agree."""
     edge = [round(32 * k / groups) * 2 for k in range(groups + 1)]
@@ -403,31 +433,53 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
     empty tables are as in near_duplicates.
     """
     source = _source(docs)
-    rows = materialize(with_key(source, keep=["doc_id"]), "keys")
-    nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
-    cells = materialize(_sharing(source, _common(source, nodes, words), similarity, words), "cells")
-    return _classes(rows, nodes, _joined(cells, nodes, source, similarity, words), "key").select("doc_id", "key", "component_id")
+    rows = materialize(with_sketch(source, words, keep=["doc_id"]), "keys")
+    nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "nodes")
+    sharing = materialize(_sharing(source, _common(source, nodes, words), similarity, words), "sharing")
+    close = materialize(_close(sharing, nodes, similarity), "close")
+    discard(sharing)
+    links = _joined(close, source, similarity, words)
+    return _classes(rows.select("doc_id", "key"), nodes.select("key", "least"), links, "key").select("doc_id", "key", "component_id")
+
+
+def _slots(keys: DataFrame, name: str) -> np.ndarray:
+    """A filter of the keys for _held: a bit for each slot that a key falls on."""
+    slots = keys.select(F.pmod(F.col(name), F.lit(SLOTS)).alias("slot"))
+    found = slots.groupBy(F.expr("shiftright(slot, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(max(1, SLOTS >> 6), np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
-def _texts_of(source: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The texts of source's rows that have the least id of one of the nodes; all of the nodes' texts are among them."""
-    ids = materialize(nodes.select(F.col("least").alias("id")).distinct(), "ids")  # a table, whose size Spark knows: a small one is broadcast rather than all texts dealt out
-    return source.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+def _held(slots: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys fall on a slot of the filter: all that it was made of, and some others."""
+    slot = key.astype(np.int64) & (SLOTS - 1)
+    return (slots[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _fresh(seen: set[int], key: np.ndarray) -> np.ndarray:
+    """Which keys haven't been seen: spares a task most copies; those that it lets through are dropped later."""
+    if len(seen) > 200_000:
+        seen.clear()
+    return np.array([not (k in seen or seen.add(k)) for k in key.tolist()], bool)
 
 
 def _common(source: DataFrame, nodes: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes of common shingles, how often each was counted): a bounded list that only the order of shingles is taken from."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                for x in _Texts(part.column("text")).sets(words):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["h"])
+                t = _Texts(part.column("text"))
+                total, h = t.hashes(words)
+                for i in np.flatnonzero(_fresh(seen, t.keys())):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[total[i] : total[i + 1]]).view(np.int64))], names=["h"])
         release()
 
     step = min(STEP, max(1, nodes.count() // COUNTED))
-    some = nodes.filter(F.pmod(F.xxhash64("key"), F.lit(step)) == 0)
-    found = materialize(_texts_of(source, some).mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON), "common")
+    some = source.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
+    found = materialize(some.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON), "common")
     most, least = 0, COMMON
     for count, n in sorted((tuple(r) for r in found.groupBy("count").agg(F.count("*")).collect()), reverse=True):
         if (most := most + n) > MOST_COMMON:
@@ -443,7 +495,7 @@ def _whole(batches, rows: int = 65_536):
     """The columns of batches that are sorted by the first one, in parts of whole runs of it."""
     kept, count, most = [], 0, rows
     for batch in batches:
-        kept.append([x.to_numpy() for x in batch.columns])
+        kept.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
         count += batch.num_rows
         if count < most:
             continue
@@ -470,37 +522,66 @@ def _meet(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, simila
     return np.minimum(n[i] - place[i], n[j] - place[j]) >= similarity / (1 + similarity) * (n[i].astype(np.int64) + n[j]) - SLACK
 
 
-def _paired(h: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
-    """Which rows may be similar to another one of their cell; of a cell of over 2 * FULL rows all."""
+def _unlike(n: np.ndarray, bits: np.ndarray, similarity: float):
+    """A function of rows i and j, to those for which the sketches rule out that they are as similar as that. The larger of two sketches is folded: its bits that fall on one of the smaller are
+    added modulo 2, which gives the sketch of that size.
+    """
+    words, size = np.frombuffer(b"".join(bits), np.uint64), np.array([len(x) >> 3 for x in bits])
+    at, n = np.cumsum(size) - size, n.astype(np.int64)
+
+    def folded(i, m):
+        w = int(size[i[0]])
+        return np.bitwise_xor.reduce(words[at[i][:, None] + np.arange(w)].reshape(len(i), w // m, m), axis=1)
+
+    def unlike(i, j):
+        most = (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + SLACK
+        out = np.zeros(len(i), bool)
+        kind = size[i] * (1 << 32) + size[j]
+        for k in np.unique(kind):
+            same = np.flatnonzero(kind == k)
+            x, y = int(k) >> 32, int(k) & 0xFFFFFFFF
+            for part in np.array_split(same, max(1, len(same) * max(x, y) // SKETCH_WORDS)):
+                if len(part):
+                    differ = folded(i[part], min(x, y)) ^ folded(j[part], min(x, y))
+                    out[part] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) > most[part]
+        return out
+
+    return unlike
+
+
+def _paired(h: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float, unlike=None) -> np.ndarray:
+    """Which rows may be similar to another one of their cell, also by their sketches where there are such; of a large cell all."""
     at, size = _runs(h)
-    out = size > 2 * FULL
+    out = size > (NEAR if unlike else 2 * FULL)
     act = np.flatnonzero(~out)
     d = 1
     while len(act := act[act - d >= at[act]]):
-        got = act[_meet(n, place, act, act - d, similarity)]
+        got = act[~(out[act] & out[act - d])]
+        got = got[_meet(n, place, got, got - d, similarity)]
+        if unlike:
+            got = got[~unlike(got, got - d)]
         out[got] = out[got - d] = True
         d += 1
     return out
 
 
 CELLS = "h long, node long, n int, place int"
+CLOSE = f"{CELLS}, bits binary, other long"
 
 
 def _sharing(source: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float, words: int) -> DataFrame:
     """Rows (h, node, n, place): a shingle that comes first in several nodes' texts, such a node, how many shingles its text has and where h is among these."""
 
     def leading(batches):
-        seen: set[int] = set()  # spares most copies; those that it lets through are dropped later
+        seen: set[int] = set()
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 t = _Texts(part.column("text"))
                 key = t.keys().view(np.int64)
-                fresh = np.array([not (k in seen or seen.add(k)) for k in key.tolist()], bool)
+                fresh = _fresh(seen, key)
                 text, h, n, place = t.leading(words, similarity, common)
                 got = fresh[text]
                 yield pa.RecordBatch.from_arrays([pa.array(h[got].view(np.int64)), pa.array(key[text[got]]), pa.array(n[got], pa.int32()), pa.array(place[got], pa.int32())], names=["h", "node", "n", "place"])
-                if len(seen) > 200_000:
-                    seen.clear()
         release()
 
     def shared(batches):
@@ -515,68 +596,108 @@ def _sharing(source: DataFrame, common: tuple[np.ndarray, np.ndarray], similarit
     return source.select("text").mapInArrow(leading, CELLS).repartition("h").sortWithinPartitions("h", "node").mapInArrow(shared, CELLS)
 
 
+def _close(sharing: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of a cell of at most FULL rows the candidates (node, other), all at once; of a larger one its rows with their sketches (bits; other is null), but for those that these leave no partner in the cell."""
+    names = [x.split(" ")[0] for x in CLOSE.split(", ")]
+
+    def run(batches):
+        for h, node, n, place, bits in _whole(batches):
+            unlike = _unlike(n, bits, similarity)
+            few = _runs(h)[1] <= FULL
+            for i, j in _candidates(h, node, n, place, node, unlike, 0, FULL, similarity, few):
+                none = pa.nulls(len(i))
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(node[j]), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(node[i])], names=names)
+            many = np.flatnonzero(~few)
+            if len(many):
+                c = [x[many] for x in (h, node, n, place, bits)]
+                near = _paired(*c[:4], similarity, _unlike(c[2], c[4], similarity))
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[near]) for x in c[:4]], pa.array(c[4][near], pa.binary()), pa.nulls(int(near.sum()), pa.int64())], names=names)
+        release()
+
+    known = sharing.join(nodes.select(F.col("key").alias("node"), "bits"), "node").select("h", "node", "n", "place", "bits")
+    return known.repartition("h").sortWithinPartitions("h", "node").mapInArrow(run, CLOSE)
+
+
+def _candidates(h, node, n, place, label, unlike, lo: int, hi: int, similarity: float, of: np.ndarray | None = None):
+    """Rows i and j, again and again, of candidates of different labels, of which j is one of the lo-th to hi-th row of the cell; of few rows all. `of`: the rows whose cells are gone through."""
+    at, size = _runs(h)
+    index = np.arange(len(h)) - at
+    end = np.where(size <= FULL, FULL, hi)
+    act = np.flatnonzero(index > lo if of is None else (index > lo) & of)
+    k = lo
+    while len(act := act[(index[act] > k) & (end[act] > k)]):
+        i = act[label[act] != label[at[act] + k]]
+        j = at[i] + k
+        got = _meet(n, place, i, j, similarity)
+        got[got] = ~unlike(i[got], j[got])
+        if got.any():
+            yield i[got], j[got]
+        k += 1
+
+
 def _pairs(lo: int, hi: int, similarity: float):
-    """Rows (h, node, n, place, label), sorted by the first two, to candidates (a, b) of different labels, of which a is one of the lo-th to hi-th node of h; of few nodes all."""
+    """Rows (h, node, n, place, bits, label), sorted by the first two, to candidates (a, b) of different labels, of which a is one of the lo-th to hi-th node of h; of few nodes all."""
+
     def run(batches):
-        for h, node, n, place, label in _whole(batches):
-            at, size = _runs(h)
-            index = np.arange(len(h)) - at
-            end = np.where(size <= FULL, FULL, hi)
-            act = np.flatnonzero(index > lo)
-            k = lo
-            while len(act := act[(index[act] > k) & (end[act] > k)]):
-                i = act[label[act] != label[at[act] + k]]
-                j = at[i] + k
-                got = _meet(n, place, i, j, similarity)
-                if got.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[j[got]]), pa.array(node[i[got]])], names=["a", "b"])
-                k += 1
+        for h, node, n, place, bits, label in _whole(batches):
+            for i, j in _candidates(h, node, n, place, label, _unlike(n, bits, similarity), lo, hi, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(node[j]), pa.array(node[i])], names=["a", "b"])
         release()
 
     return run
 
 
-def _joined(cells: DataFrame, nodes: DataFrame, source: DataFrame, similarity: float, words: int) -> DataFrame:
+def _joined(close: DataFrame, source: DataFrame, similarity: float, words: int) -> DataFrame:
     """Links (a, b) of nodes that are as similar as that, whose closure is that of all such links.
 
-    Rounds: of a cell, the nodes that share a shingle, first one is compared with all others, then 31, 992, ... more with those that verified links haven't joined with them yet, until each pair
+    The candidates of small cells are there at once. Rounds: of a larger cell, the nodes that share a shingle, first one is compared with all others, then 7, 56, ... more with those that verified links haven't joined with them yet, until each pair
     of nodes has been compared or joined. So a dense group of n takes about n comparisons, and no candidate is left out.
     """
-    used = materialize(nodes.join(cells.select(F.col("node").alias("key")).distinct(), "key", "left_semi"), "linked")
-    shingles = materialize(_shingles(source, used, words), "shingles")
+    small = close.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    cells = close.filter("other is null").drop("other")
+    shingles = materialize(_shingles(source, small.select(F.col("a").alias("key")).union(small.select("b")).union(cells.select("node")), words), "shingles")
     lo, hi, links = 0, 1, None
     now = cells.withColumn("label", F.col("node"))
     while True:
         met = now.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_pairs(lo, hi, similarity), "a long, b long")
+        met = met if links is not None else met.union(small)
         found = _verified(materialize(met.distinct(), "candidates"), shingles, similarity)
         links = found if links is None else links.unionByName(found)
         large = now.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > max(hi, FULL)).select("h")
         if large.isEmpty():
             return links
-        cells = materialize(now.join(large, "h", "left_semi").select("h", "node", "n", "place"), "cells")
+        cells = materialize(now.join(large, "h", "left_semi").select("h", "node", "n", "place", "bits"), "cells")
         labels = components(links).withColumnRenamed("component", "label")
         named = cells.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         apart = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
-        now = materialize(named.join(apart, "h", "left_semi").select("h", "node", "n", "place", "label"), "cells")
+        now = materialize(named.join(apart, "h", "left_semi").select("h", "node", "n", "place", "bits", "label"), "cells")
         if now.isEmpty():
             return links
-        lo, hi = hi, 32 * hi
+        lo, hi = hi, 8 * hi
 
 
 SETS = "key long, shingles binary"
 
 
 def _shingles(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(key, shingles) of the nodes (key, least): the hashes of each text's distinct shingles, sorted."""
+    """(key, shingles) of the nodes (key): the hashes of each text's distinct shingles, sorted. Texts aren't dealt out: a task reads its own, and gives the sets of those that the nodes' filter
+    holds. So there are sets of a few other texts too, and a set may be there again, by another task.
+    """
+    slots = _slots(nodes, "key")
 
     def sets(batches):
+        seen: set[int] = set()
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 t = _Texts(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(t.keys().view(np.int64)), pa.array([x.tobytes() for x in t.sets(words)], pa.binary())], names=["key", "shingles"])
+                key = t.keys()
+                total, h = t.hashes(words)
+                held = np.flatnonzero(_held(slots, key) & _fresh(seen, key))
+                found = [np.unique(h[total[i] : total[i + 1]]).tobytes() for i in held]
+                yield pa.RecordBatch.from_arrays([pa.array(key[held].view(np.int64)), pa.array(found, pa.binary())], names=["key", "shingles"])
         release()
 
-    return _texts_of(source, nodes).mapInArrow(sets, SETS).join(nodes.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    return source.select("text").mapInArrow(sets, SETS)
 
 
 def _verified(links: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -589,10 +710,12 @@ def _verified(links: DataFrame, shingles: DataFrame, similarity: float) -> DataF
     wanted = stars.select("star", F.col("a").alias("key"), F.lit(True).alias("middle")).distinct().union(stars.select("star", F.col("b").alias("key"), F.lit(False).alias("middle")))
 
     def run(batches):
-        star = middle = key = None
+        star = middle = key = last = None
         for batch in batches:
             a, b = [], []
             for s, m, k, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if last == (last := (s, m, k)):
+                    continue  # a set that is there again
                 x = np.frombuffer(x, np.uint64)
                 if m:
                     star, middle, key = s, x, k
@@ -604,7 +727,7 @@ def _verified(links: DataFrame, shingles: DataFrame, similarity: float) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         release()
 
-    met = wanted.join(shingles, "key").select("star", "middle", "key", "shingles").repartition("star").sortWithinPartitions("star", F.desc("middle"))
+    met = wanted.join(shingles, "key").select("star", "middle", "key", "shingles").repartition("star").sortWithinPartitions("star", F.desc("middle"), "key")
     return materialize(met.mapInArrow(run, "a long, b long"), "verified")
 
 
@@ -616,15 +739,27 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, words: int = WO
     found = materialize(similar_documents(docs, similarity, words), "near-duplicates").filter("doc_id is not null")
     per = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "decisions")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(per.filter("not stays").select("doc_id"), "doc_id", "left_anti").select(*columns)
+    slots = _slots(per.filter("not stays or n > 1"), "doc_id")
+    alone, others = _by_id(docs, slots, False), _by_id(docs, slots, True)  # only of the latter texts are dealt out
+    kept = others.join(per.filter("not stays").select("doc_id"), "doc_id", "left_anti").select(*columns)
     twice = per.filter("stays and n > 1").select("doc_id")
     if twice.isEmpty():
-        return kept
+        return alone.unionByName(kept)
     once = kept.join(twice, "doc_id", "left_anti").select(*columns)
     several = kept.join(twice, "doc_id", "left_semi").select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     keyed = with_key(several).select("row", "id", "key")
     stays = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id"), "key").distinct()
-    return once.unionByName(keyed.join(stays, ["id", "key"], "left_semi").dropDuplicates(["id"]).select("row.*"))
+    return alone.unionByName(once).unionByName(keyed.join(stays, ["id", "key"], "left_semi").dropDuplicates(["id"]).select("row.*"))
+
+
+def _by_id(docs: DataFrame, slots: np.ndarray, held: bool) -> DataFrame:
+    """The rows of docs whose id the filter holds, or else the others; those without an id are among the latter."""
+
+    def run(c):
+        ids = c["doc_id"].cast(pa.int64())
+        return {"_keep": (_held(slots, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)) & pc.is_valid(ids).to_numpy(zero_copy_only=False)) == held}
+
+    return map_rows(docs, ["doc_id", "text"], run, [])
 
 
 def op8_simhash_near_dedup(spark, sf_dir):

@@ -211,3 +211,56 @@ def test_similar_documents_are_all_pairs(spark, sf, full, common, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = all_pairs(rows)
     assert got == {d: 4003 if d == 4004 else c for d, c in want.items()} and len(set(want.values())) < len(rows) - 40
+
+
+def test_shared_passage_makes_no_candidates(spark, monkeypatch):
+    """Texts that only have a passage in common, which nothing has counted as common, are no candidates, and their sets aren't dealt out; near copies among them are found, of long and of short texts."""
+    monkeypatch.setattr(sh, "COMMON", 10**9)
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 50_000, n))
+    line = words(60)
+    rows = [(k, f"{line} {words(200 + 7 * k)}") for k in range(60)]
+    rows += [(1000 + k, edited(t, 0.02, rng)) for k, t in rows[::20]] + [(2000 + k, edited(words(30), 0.01, rng)) for k in range(3)]
+    seen = {}
+    kept = sh.materialize
+
+    def noted(df, name):
+        out = kept(df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(sh, "materialize", noted)
+    got = {r["doc_id"]: r["component_id"] for r in sh.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_pairs(rows) and len(set(got.values())) == len(rows) - 3
+    assert sum(seen["candidates"]) < 100 and seen["shingles"][0] < 60
+
+
+def test_sketches_rule_out_no_similar_text():
+    """Of texts of any length and likeness: a pair of 0.8 or more passes, and of unlike ones nearly none."""
+    rng = np.random.default_rng(12)
+    unlike = near = passed = 0
+    for n in (1, 4, 30, 70, 130, 600, 2100, 9000, 30_000):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, n + 4)]
+        texts = [base, *[base[: int(n * s) + 4] for s in (0.5, 0.79, 0.8, 0.81, 0.95)]]
+        texts += [[f"x{k}" if k in at else w for k, w in enumerate(base)] for at in (set(rng.choice(n, max(1, int(n * s))).tolist()) for s in (0.005, 0.02, 0.024, 0.03, 0.2))] + [[f"y{w}" for w in base]]
+        t = sh._Texts(pa.array([" ".join(x) for x in texts]))
+        sets, bits = t.sets(5), np.array(t.sketches(5), object)
+        test = sh._unlike(np.array([len(x) for x in sets], np.int32), bits, 0.8)
+        i, j = map(np.ravel, np.indices((len(texts), len(texts))))
+        out = test(i, j)
+        for a, b, o in zip(i, j, out):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            share = both / (len(sets[a]) + len(sets[b]) - both)
+            assert not (o and share >= 0.8)
+            near += share >= 0.8
+            if share < 0.3 and 100 < n < 10_000:
+                unlike, passed = unlike + 1, passed + (not o)
+    assert near > 100 and unlike > 50 and passed < 0.05 * unlike
+
+
+def test_texts_of_repeated_ids_keep_their_rows(spark):
+    """Only rows whose id is repeated or goes are looked at again; others, and rows without an id, come through once, with any column."""
+    far = sh.SLOTS + 3  # the same slot as 3
+    rows = [(3, "one two three four five six", 1), (far, "another text of some words here", 2), (9, "one two three four five six", 3), (None, "one two three four five six", 4), (7, "x y", 5), (7, "x y", 5)]
+    out = sh.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, `a.b` int"))
+    assert sorted(r["a.b"] for r in out.collect()) == [1, 2, 4, 5]
